@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, embeddings, fingerprints, minhash, packing, pieces
+from . import chat, counts, embeddings, fingerprints, minhash, packing, pieces, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=100)
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
     return compared.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -56,5 +61,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_near_dedup, op5_fingerprints, op6_token_counts, op8_minhash_near_dedup, op9_chat_formatting, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_near_dedup, op3_suffix_dedup, op5_fingerprints, op6_token_counts, op8_minhash_near_dedup, op9_chat_formatting, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
