@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, embeddings, fingerprints, minhash, packing, pieces, repeats
+from . import chat, counts, embeddings, fingerprints, id_files, minhash, packing, pieces, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = id_files.new_path(spark)
+    id_files.write_ids(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", end_id=2)
+    return id_files.document_checksums(id_files.read_pieces(spark, path)).withColumnRenamed("id", "doc_id")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -61,5 +67,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_near_dedup, op3_suffix_dedup, op5_fingerprints, op6_token_counts, op8_minhash_near_dedup, op9_chat_formatting, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_near_dedup, op3_suffix_dedup, op5_fingerprints, op6_token_counts, op7_id_files, op8_minhash_near_dedup, op9_chat_formatting, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
