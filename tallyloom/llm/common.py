@@ -53,6 +53,15 @@ def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def numbered(df: DataFrame, id_col: str, text_col: str, into: str = "doc") -> DataFrame:
+    """``df`` with a unique key ``into``: the id itself, or where ids are null or repeat, a number in the order of (id, text), null first."""
+    ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    if ids.where("id is null").isEmpty() and ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return df.withColumn(into, F.col(f"`{id_col}`").cast("long"))
+    ordered = df.sort(F.col(f"`{id_col}`").asc_nulls_first(), F.col(f"`{text_col}`").asc_nulls_first())
+    return materialize(ordered.withColumn(into, F.monotonically_increasing_id()), "numbered")
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` (string) holds about ``limit`` bytes a slice, one row at least."""
     if batch.num_rows == 0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, embeddings, fingerprints, id_files, minhash, packing, pieces, repeats
+from . import chat, counts, embeddings, fingerprints, id_files, language, minhash, packing, pieces, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,20 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    decided = language.identify_languages(docs, language.fit_text_model(docs))
+    return decided.select("doc_id", "language", "text_language", "confidence", "n_trigrams", (~F.col("rejected")).alias("kept"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on raw pages: declared markup language, address suffix and host."""
+    model = language.fit_text_model(table(spark, sf_dir, "documents"))
+    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    decided = language.identify_languages(pages, model, declared_col="declared", host_col="host", suffix_col="suffix")
+    return decided.select("page_id", "host", "suffix", "declared", "language", "text_language", "confidence", (~F.col("rejected")).alias("kept"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
     return compared.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -67,5 +81,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_near_dedup, op3_suffix_dedup, op5_fingerprints, op6_token_counts, op7_id_files, op8_minhash_near_dedup, op9_chat_formatting, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_embedding_near_dedup, op3_suffix_dedup, op4_language_id, op5_fingerprints, op6_token_counts, op7_id_files, op8_minhash_near_dedup, op9_chat_formatting, op10_sentencepiece, language_id_pages)}
 ORACLE_SQL: dict[str, str] = {}
