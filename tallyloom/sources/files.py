@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-HEADER = struct.Struct("<QQ")
+HEADER, HEADER_SIZE = "<QQ", 16  # rows, columns
 
 
 class FormatError(ValueError):
@@ -28,11 +28,11 @@ class FormatError(ValueError):
 
 def read_header(path: str) -> tuple[int, int]:
     size = os.path.getsize(path)
-    if size < HEADER.size:
+    if size < HEADER_SIZE:
         raise FormatError(f"{path}: {size} bytes are no header")
     with open(path, "rb") as f:
-        rows, columns = HEADER.unpack(f.read(HEADER.size))
-    if size != HEADER.size + 8 * rows * columns:
+        rows, columns = struct.unpack(HEADER, f.read(HEADER_SIZE))
+    if size != HEADER_SIZE + 8 * rows * columns:
         raise FormatError(f"{path}: {rows} x {columns} values don't fit {size} bytes")
     return rows, columns
 
@@ -41,6 +41,7 @@ def column_maxima(path: str, step: int = 1 << 20) -> list[int]:
     rows, columns = read_header(path)
     out = []
     with open(path, "rb") as f:
+        f.seek(HEADER_SIZE)
         for _ in range(columns):
             top, left = 0, rows
             while left:
@@ -77,7 +78,7 @@ class _BinaryReader(DataSourceReader):
             arrays = []
             with open(self.path, "rb") as f:
                 for i, field in enumerate(self.schema.fields):
-                    f.seek(HEADER.size + 8 * (i * rows + begin))
+                    f.seek(HEADER_SIZE + 8 * (i * rows + begin))
                     values = np.fromfile(f, "<u8", n)
                     if isinstance(field.dataType, T.LongType):
                         arrays.append(pa.array(values.view("<i8")))
@@ -121,8 +122,8 @@ def write_binary(df: DataFrame, path: str) -> None:
         starts[part] = rows
         rows += counts[part]
     with open(path, "wb") as f:
-        f.write(HEADER.pack(rows, len(names)))
-        f.truncate(HEADER.size + 8 * rows * len(names))
+        f.write(struct.pack(HEADER, rows, len(names)))
+        f.truncate(HEADER_SIZE + 8 * rows * len(names))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
@@ -133,7 +134,7 @@ def write_binary(df: DataFrame, path: str) -> None:
             with open(path, "r+b") as f:
                 for i in range(len(names)):
                     values = np.asarray([int(v) for v in batch.column(i).to_pylist()], "<u8")
-                    f.seek(HEADER.size + 8 * (i * rows + starts[part] + done))
+                    f.seek(HEADER_SIZE + 8 * (i * rows + starts[part] + done))
                     f.write(values.tobytes())
             done += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
