@@ -18,8 +18,8 @@ their bytes are fetched.
 two shards; each shard's suffix array and transform are built, and the two
 transforms are merged by iterative interleave refinement: starting from "all of
 the first, then all of the second", each pass reads the transforms in the
-current interleave, deals it stably by symbol, and splits the blocks of suffixes
-that agree so far.  After ``width`` passes a block is exactly an interval of
+current interleave, deals it stably by symbol (two symbols a pass), and splits
+the blocks of suffixes that agree so far.  At ``width`` symbols a block is exactly an interval of
 suffixes with a common prefix of ``width`` bytes or more - the repeated
 intervals - and no suffix was sorted again.  In each interval all but the first
 occurrence repeat.
@@ -40,11 +40,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, narrowed, slices, utf8_of
+from .common import discard, materialize, numbered, slices, utf8_of
 from .fingerprints import _table, mixed
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -89,51 +90,63 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int):
 
 # ---- transforms ---------------------------------------------------------
 def shard_transform(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, transform) of strings of symbols 1..256, each closed by a 0 at ``ends``; strings of under 256 symbols.
+    """(suffix array, transform over symbol pairs) of strings of symbols 1..255, each closed by a 0 at ``ends``; strings of under 250 symbols.
 
-    Suffixes are sorted whole by rank doubling; those that are a closing 0 alone
-    follow the order of the strings that come after them cyclically, so that
-    stepping back over a string's start stays in order.
+    Suffixes are sorted whole: by their first seven symbols, then by rank
+    doubling; those that are a closing 0 alone follow the order of the strings
+    that come after them cyclically, so that stepping back over a string's start
+    stays in order.  The transform holds the two symbols before each suffix.
     """
     n = len(data)
     size = np.diff(np.concatenate([[-1], ends]))
     close = np.repeat(ends, size)  # the closing 0 of each position's string
     at = np.arange(n)
-    rank = data.astype(np.int64)
-    reach = 1
-    while reach < 256:
-        after = at + reach
-        second = np.where(after <= close, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = rank * (int(second.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(n, np.int64)
-        fresh[1:] = key[order[1:]] != key[order[:-1]]
+    wide = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.int64)
+    rank = np.zeros(n, np.int64)
+    alive = np.ones(n, bool)
+    for k in range(7):
+        rank = rank << 8 | np.where(alive, wide[k : k + n], 0)
+        alive &= wide[k : k + n] != 0
+    order = np.argsort(rank)
+    reach = 7
+    while True:
+        fresh = np.empty(n, bool)
+        fresh[0] = False
+        ranked = rank[order]
+        np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+        number = np.cumsum(fresh)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+        rank[order] = number
+        if reach >= 250:
+            break
+        after = at + reach
+        rank = rank * (n + 1) + np.where(after <= close, rank[np.minimum(after, n - 1)] + 1, 0)
+        order = np.argsort(rank)
         reach *= 2
-    order = np.argsort(rank, kind="stable")
+    heads = np.concatenate([[0], ends[:-1] + 1])
+    order = np.argsort(rank * n + at)
     place = np.empty(n, np.int64)
     place[order] = at
-    heads = np.concatenate([[0], ends[:-1] + 1])
     order[: len(ends)] = ends[np.argsort(place[heads], kind="stable")]
-    before = np.where(np.isin(order, heads), 0, data[np.maximum(order - 1, 0)])
-    return order, before
+    back = at - 1
+    back[heads] = ends
+    one = back[order]
+    return order, data[back[one]].astype(np.uint16) << 8 | data[one]
 
 
 def merge_transforms(first: np.ndarray, second: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard of each merged suffix, number of its block of suffixes that agree in ``depth`` symbols), by interleave refinement."""
-    shard = np.concatenate([np.zeros(len(first), np.uint8), np.ones(len(second), np.uint8)])
+    """(shard of each merged suffix, number of its block of suffixes that agree in ``depth`` symbols, an even number), by interleave refinement."""
+    shard = np.concatenate([np.zeros(len(first), bool), np.ones(len(second), bool)])
     block = np.zeros(len(shard), np.int32)
-    symbols = np.empty(len(shard), np.int16)
-    for _ in range(depth):
-        from_second = shard.view(bool)
-        symbols[~from_second] = first
-        symbols[from_second] = second
-        order = np.argsort(symbols, kind="stable")  # a radix pass
+    both, symbols = np.concatenate([first, second]), np.empty(len(shard), np.uint16)
+    split = np.zeros(len(shard), bool)
+    for _ in range(depth // 2):
+        symbols[np.concatenate([np.flatnonzero(~shard), np.flatnonzero(shard)])] = both
+        order = np.argsort(symbols, kind="stable")  # a radix sort
         shard = shard[order]
         dealt, agreed = symbols[order], block[order]
-        split = np.zeros(len(shard), np.int32)
-        split[1:] = (dealt[1:] != dealt[:-1]) | (agreed[1:] != agreed[:-1])
+        np.not_equal(dealt[1:], dealt[:-1], out=split[1:])
+        split[1:] |= agreed[1:] != agreed[:-1]
         block = np.cumsum(split, dtype=np.int32)
     return shard, block
 
@@ -144,15 +157,15 @@ def repeated_windows(raw: list[bytes], doc: np.ndarray, start: np.ndarray, width
     parts, places = [], []
     for a, b in ((0, half), (half, len(raw))):
         if a >= b:
-            parts.append((np.zeros(0, np.int64), np.zeros(0, np.int16)))
+            parts.append((np.zeros(0, np.int64), np.zeros(0, np.uint16)))
             places.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
             continue
         sizes = np.asarray([len(x) for x in raw[a:b]])
         ends = np.cumsum(sizes + 1) - 1
-        data = np.zeros(int(ends[-1]) + 1, np.int16)
+        data = np.zeros(int(ends[-1]) + 1, np.uint8)
         inside = np.ones(len(data), bool)
         inside[ends] = False
-        data[inside] = np.frombuffer(b"".join(raw[a:b]), np.uint8).astype(np.int16) + 1
+        data[inside] = np.frombuffer(b"".join(raw[a:b]), np.uint8) + np.uint8(1)  # no byte of UTF-8 is above 0xF4
         parts.append(shard_transform(data, ends))
         string = np.repeat(np.arange(a, b), sizes + 1)
         offset = np.arange(len(data)) - np.repeat(ends - sizes, sizes + 1)
@@ -182,20 +195,12 @@ def repeated_windows(raw: list[bytes], doc: np.ndarray, start: np.ndarray, width
 
 
 # ---- the distributed steps ----------------------------------------------
-def _numbered(source: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc, text): doc is the id, or where ids are null or repeat, a number in the order of (id, text)."""
-    ids = source.select("id")
-    odd = ids.where("id is null").isEmpty() and ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    if odd:
-        return source.withColumn("doc", F.col("id")), False
-    ordered = source.sort(F.asc_nulls_first("id"), F.asc_nulls_first("text")).withColumn("doc", F.monotonically_increasing_id())
-    return materialize(ordered, "repeats-numbered"), True
-
-
-def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: str = "doc_id", text_col: str = "text", block: int = 3000, shard_bytes: int = 1 << 19) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans long, kept binary) of every row."""
-    source = narrowed(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    docs, _ = _numbered(source)
+def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: str = "doc_id", text_col: str = "text", block: int = 3000, shard_bytes: int = 1 << 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans long, kept binary) of every row, and the columns named in ``carry``."""
+    if width % 2 or width > 120:
+        raise ValueError("width: an even number of bytes up to 120")
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("carried"))
+    docs = numbered(source, "id", "text")
     texts = docs.select("doc", "text")
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +221,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(content[part]), pa.array(doc[part]), pa.array((start[part] << 16) * np.sign(windows[part]) + windows[part])], names=["key", "content", "doc", "place"])
 
         for whole in batches:
-            for batch in slices(whole, 1, 2 << 20):
+            for batch in slices(whole, 1, 1 << 17):
                 text, start, windows, key, content = stretches(*utf8_of(batch.column(1)), width, anchor)
                 if len(text):
                     held.append(np.stack([batch.column(0).to_numpy()[text], start, windows, key, content]))
@@ -311,23 +316,22 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
     discard(rims)
     spans = found.where("kind = 0").select("doc", "start", "size").unionByName(merged).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                out = []
-                for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    raw = (text or "").encode()
-                    kept, done, removed, runs = [], 0, 0, 0
-                    for a, b in sorted((g["start"], g["start"] + g["size"]) for g in gone or ()):
-                        if a > done or not runs:
-                            runs += 1
-                            kept.append(raw[done:a])
-                            done = a
-                        removed += max(0, b - done)
-                        done = max(done, b)
-                    kept.append(raw[done:])
-                    out.append((len(raw), removed, runs, b"".join(kept)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return docs.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    def cut(texts_: pd.Series, spans_: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, gone in zip(texts_, spans_):
+            raw = (text or "").encode()
+            kept, done, removed, runs = [], 0, 0, 0
+            for a, b in sorted((g["start"], g["start"] + g["size"]) for g in (gone if gone is not None else ())):
+                if a > done or not runs:
+                    runs += 1
+                    kept.append(raw[done:a])
+                    done = a
+                removed += max(0, b - done)
+                done = max(done, b)
+            kept.append(raw[done:])
+            out.append((len(raw), removed, runs, b"".join(kept)))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+
+    done = docs.join(spans, "doc", "left").withColumn("cut", cut("text", "spans"))
+    return done.select("id", "cut.*", *[F.col("carried").getField(c).alias(c) for c in carry])
