@@ -11,8 +11,7 @@ Blocks close behind the document that fills them; a document of more than
 ``4 * block_ids`` ids is spread over several, and its checksum is put together
 from its pieces', so memory follows the block and not the document.
 
-Documents are dealt to ranges of ids (with the text as a tie-break), which has no
-hot key; nothing but one total a file goes to the driver.
+Documents are dealt to ranges of ids, each sorted by id and text; nothing but one total a file goes to the driver.
 
 Defined results: null and empty texts are documents of the end id alone; rows
 that repeat an id stand in order of their texts; rows without id come first;
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrowed, shared_dir, slices, texts_of, tokenizer_path
+from .common import materialize, narrowed, shared_dir, slices, texts_of, tokenizer_path
 from .range_coder import decode_block, encode_block
 from .token_ids import id_table
 
@@ -87,7 +86,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", e
         if n:
             yield close(0)
 
-    ordered = source.repartitionByRange(F.asc_nulls_first("id"), F.asc_nulls_first("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
+    ordered = source.repartitionByRange(F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
     ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(path)
 
 
@@ -163,7 +162,8 @@ def document_checksums(pieces: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    marked = pieces.select("file", "doc_rank", "id", "start", "n", F.crc32("ids").alias("crc"), "whole")
+    # two ways lead on from here; a small table spares decoding for each
+    marked = materialize(pieces.select("file", "doc_rank", "id", "start", "n", F.crc32("ids").alias("crc"), "whole"), "id-checksums")
     single = marked.where("whole").select("id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     spread = marked.where("not whole").groupBy("file", "doc_rank").agg(F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct("start", "n", "crc"))).alias("parts"))
     return single.unionByName(spread.select("id", "parts").mapInArrow(join_pieces, "id long, start long, n_tokens long, ids_crc32 long"))
