@@ -1,29 +1,52 @@
-"""Library token ids by way of a table of distinct pre-tokens.
+"""Library token ids by way of a table of distinct units.
 
-A pre-token is segmented independently of its neighbours, so each task keeps a
-bounded table (distinct pre-token -> packed ids, the ids coming from the
-library) and joins a text's ids from it.  Texts outside the characters for
-which the cheap pattern is known to split as the library does, and texts that
-hold a special string, go to the library whole.
+A text is cut at its blanks (U+0020).  Where no vocabulary's pre-token can reach
+over such a cut, the units between are segmented independently, so each task
+keeps a bounded table (unit -> packed ids, the ids coming from the library) and
+joins a text's ids from it.
+
+* Vocabularies that drop white space: a unit is what stands between white space.
+* Byte-level vocabularies: a unit is a blank and what follows it.  The cut is
+  where the library itself splits, except where a blank stands behind white
+  space and before white space or the end; such texts go to the library whole.
+
+Texts that hold a special string go to the library whole as well.  Units that
+the table lacks are cut into pre-tokens, which the library's model segments; a
+unit with other characters than those for which the pattern here is known to
+cut as the library does goes to the library as it is.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
 import numpy as np
 
+from .counts import byte_symbols
+
 _tables: dict[tuple[str, str], "IdTable"] = {}
-#: Anything but printable ASCII, plain white space and Latin letters up to U+024F (without the dotted I, digits-like signs, no-break space).
+#: Anything but printable ASCII, plain white space and Latin letters up to U+024F (without the dotted I, digit-like signs and the no-break space).
 _UNUSUAL = re.compile("[^\t\n\r -~¡-©«-±´-¸»À-įı-ɏ]")
 _BYTE_LEVEL = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_RUN = re.compile(r"\s (?:\s|\Z)")
+_WIDE_RUN = re.compile("[\x85\xa0  -     　] (?:\\s|\\Z)")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
+_BEFORE = tuple(f"{c} " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
+
+
+def _blank_inside_white_space(text: str) -> bool:
+    """Whether a blank has white space before it and white space or the end after it."""
+    if any(pair in text for pair in _BEFORE) and _RUN.search(text):
+        return True
+    return not text.isascii() and _WIDE_RUN.search(text) is not None
 
 
 class IdTable:
-    def __init__(self, path: str, dtype: str = "<u4", size: int = 600_000):
+    def __init__(self, path: str, dtype: str = "<u4", size: int = 500_000):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path))
@@ -31,39 +54,75 @@ class IdTable:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
-        self.pattern = _WORD_LEVEL if self.lower else _BYTE_LEVEL
-        self.dtype, self.size, self.known = np.dtype(dtype), size, {}
+        self.drops_white = spec["normalizer"] is not None and "\\s" in json.dumps(spec["pre_tokenizer"])
+        self.dtype, self.size = np.dtype(dtype), size
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # pre-tokens
+        self.pattern = _WORD_LEVEL if self.drops_white else _BYTE_LEVEL
+        self.symbols = {b: c for c, b in byte_symbols().items()}  # for str.translate
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        code = "I" if self.dtype.itemsize == 4 else "H"
-        return [array(code, e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        symbols = part.encode().decode("latin-1").translate(self.symbols)
+        return array("I" if self.dtype.itemsize == 4 else "H", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
+
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units without special strings."""
+        lead = "" if self.drops_white else " "
+        if len(self.parts) > self.size:
+            self.parts = {}
+        out, odd, parts = {}, [], self.parts
+        for unit in units:
+            if _UNUSUAL.search(unit):
+                odd.append(unit)
+                continue
+            cut = self.pattern.findall(unit.lower() if self.drops_white else lead + unit)
+            ids = list(map(parts.get, cut))
+            if None in ids:
+                for k, x in enumerate(ids):
+                    if x is None:
+                        ids[k] = parts[cut[k]] = self._part(cut[k])
+            out[unit] = b"".join(ids)
+        return out | dict(zip(odd, self._library([lead + u for u in odd])))
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Packed ids of each text, followed by ``end``."""
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
-            rows = [None if _UNUSUAL.search(t) or any(s in t for s in self.specials) else self.pattern.findall(t.lower() if self.lower else t) for t in part]
+            rows: list[list[str] | None] = []
+            for t in part:
+                if any(s in t for s in self.specials) or (_SEPARATORS.search(t) is not None if self.drops_white else _blank_inside_white_space(t)):
+                    rows.append(None)
+                else:
+                    if self.drops_white and not ("Σ" in t or "İ" in t):
+                        t = t.lower()  # as the library would; these two depend on more than the character
+                    rows.append(t.split() if self.drops_white else t.split(" "))
+            # a byte-level text's first unit has no blank before it
+            heads = [b""] * len(part) if self.drops_white else iter(self._library([row[0] for row in rows if row is not None]))
+            if not self.drops_white:
+                heads = [b"" if row is None else next(heads) for row in rows]
+                for row in rows:
+                    if row is not None:
+                        del row[0]
             get = self.known.get
             found = [row and list(map(get, row)) for row in rows]
-            if fresh := {w for row, ids in zip(rows, found) if ids and None in ids for w, x in zip(row, ids) if x is None}:
+            if fresh := {u for row, ids in zip(rows, found) if ids and None in ids for u, x in zip(row, ids) if x is None}:
                 if len(self.known) + len(fresh) > self.size:
                     self.known = {}
-                    fresh = {w for row in rows if row for w in row}
-                words = list(fresh)
-                self.known.update(zip(words, self._library(words)))
+                    fresh = {u for row in rows if row for u in row}
+                self.known |= self._units(list(fresh))
                 get = self.known.get
-                found = [row and (ids if None not in ids and len(self.known) > len(fresh) else list(map(get, row))) for row, ids in zip(rows, found)]
+                found = [ids if not ids or None not in ids else list(map(get, row)) for row, ids in zip(rows, found)]
             whole = iter(self._library([t for t, row in zip(part, rows) if row is None]))
-            out += [next(whole) + end if row is None else b"".join(ids) + end for row, ids in zip(rows, found)]
+            out += [next(whole) + end if row is None else head + b"".join(ids) + end for row, head, ids in zip(rows, heads, found)]
         return out
 
 
 def id_table(path: str, dtype: str = "<u4") -> IdTable:
     """The worker's table for a vocabulary; it outlives tasks."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, dtype) not in _tables:
         _tables[path, dtype] = IdTable(path, dtype)
