@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrowed, texts_of, tokenizer_path
+from .common import narrowed, texts_of, tidy, tokenizer_path
 from .counts import count_batch, transducer_for
 
 _TURN = re.compile(r'<turn role="([^"<]*)"( again)?>([^<]*)</turn>\n')
@@ -179,8 +179,8 @@ def format_conversations(df: DataFrame, budget: int = 2048, history: int = 512,
             yield flush()
 
     source = narrowed(df, conv=conv_col, turn=turn_col, role=role_col, text=text_col).withColumn("conv", F.col("conv").cast("long"))
-    turns = source.mapInArrow(measure, f"conv long, turn {source.schema['turn'].dataType.simpleString()}, role string, text string, tokens long")
-    return turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(windows, WINDOW)
+    turns = source.mapInArrow(tidy(measure), f"conv long, turn {source.schema['turn'].dataType.simpleString()}, role string, text string, tokens long")
+    return turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").mapInArrow(tidy(windows), WINDOW)
 
 
 def conversation_digests(windows: DataFrame) -> DataFrame:
@@ -212,4 +212,4 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     ordered = windows.repartition("conv").sortWithinPartitions("conv", "window")
-    return ordered.mapInArrow(run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tidy(run), "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows and 8 MB: whole documents are large rows, and each task holds a few batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back at the end of the task: workers outlive tasks, and several share an executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyloom/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "snappy")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyloom_path = path
@@ -50,11 +77,13 @@ def discard(df: DataFrame) -> None:
 
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under the operator's own names; extra or clashing columns never reach it."""
+    modest_batches(df.sparkSession)
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
 def numbered(df: DataFrame, id_col: str, text_col: str, into: str = "doc") -> DataFrame:
     """``df`` with a unique key ``into``: the id itself, or where ids are null or repeat, a number in the order of (id, text), null first."""
+    modest_batches(df.sparkSession)
     ids = df.select(F.col(f"`{id_col}`").cast("long").alias("id"))
     if ids.where("id is null").isEmpty() and ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return df.withColumn(into, F.col(f"`{id_col}`").cast("long"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, tidy
 
 
 def union_find(pairs: np.ndarray) -> np.ndarray:
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialize(pairs.mapInArrow(_contract, "a long, b long").distinct(), name)
+    now = materialize(pairs.mapInArrow(tidy(_contract), "a long, b long").distinct(), name)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -94,4 +94,4 @@ def sorted_groups(df: DataFrame, keys: list[str], each: Callable[[pa.Table], Ite
             yield from each(pa.Table.from_batches(rest))
 
     dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    return dealt.select(*keys, *[c for c in df.columns if c not in keys]).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.select(*keys, *[c for c in df.columns if c not in keys]).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)

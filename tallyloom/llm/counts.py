@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import narrowed, slices, tokenizer_path, utf8_of
+from .common import narrowed, slices, tidy, tokenizer_path, utf8_of
 
 CHUNK = 512
 LETTER, NUMBER, SPACE, WHITE, OTHER = 1, 2, 3, 4, 5
@@ -307,9 +307,9 @@ def count_tokens(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer_for(tokenizer_path(vocabulary))
         for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, 1 << 20):
                 size, n = count_batch(machine, batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     source = narrowed(df, id=id_col, text=text_col)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, narrowed
+from .common import discard, materialize, narrowed, tidy
 from .components import connected_components, sorted_groups
 
 
@@ -67,7 +67,7 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
 def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", target: int = 256, miss: float = 1e-3, block: int = 2000, seed: int = 17) -> DataFrame:
     """(id, n_links long, component_id long) of every row."""
     source = narrowed(df, id=id_col, vector=vector_col).withColumn("id", F.col("id").cast("long"))
-    rows = source.mapInArrow(_vectors, "id long, key binary, vector binary")
+    rows = source.mapInArrow(tidy(_vectors), "id long, key binary, vector binary")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     # where all of a class's ids are null it has no name; it can't link by one
     classes = materialize(classes.withColumn("name", F.coalesce("rep", F.xxhash64("key"))), "vector-classes")
@@ -88,7 +88,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
                 part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], names=["name", "n", "vector", "keys"])
 
-    signed = materialize(classes.select("name", "n", "vector").mapInArrow(sign, "name long, n long, vector binary, keys array<long>"), "vector-signs")
+    signed = materialize(classes.select("name", "n", "vector").mapInArrow(tidy(sign), "name long, n long, vector binary, keys array<long>"), "vector-signs")
     sizes = signed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = signed.select("name", "n", "vector", "keys", F.posexplode("keys").alias("t", "key")).join(sizes, ["t", "key"])
     blocks = F.ceil(F.col("size") / block).cast("int")

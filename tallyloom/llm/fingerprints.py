@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrowed
+from .common import narrowed, tidy
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: list[np.ndarray] = []
@@ -103,7 +103,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["id", "fingerprint"])
 
     source = narrowed(df, id=id_col, text=text_col)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fingerprint string")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, fingerprint string")
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -159,4 +159,4 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return with_next(df, id_col, text_col).mapInArrow(run, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(df, id_col, text_col).mapInArrow(tidy(run), "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

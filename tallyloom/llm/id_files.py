@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, narrowed, shared_dir, slices, texts_of, tokenizer_path
+from .common import materialize, narrowed, shared_dir, slices, texts_of, tidy, tokenizer_path
 from .range_coder import decode_block, encode_block
 from .token_ids import id_table
 
@@ -87,7 +87,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", e
             yield close(0)
 
     ordered = source.repartitionByRange(F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), F.asc_nulls_first("text"))
-    ordered.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(tidy(run), BLOCK).write.option("compression", "none").parquet(path)
 
 
 def combine_crc32(first: int, second: int, size: int) -> int:
@@ -145,7 +145,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(docs), pa.int32()), pa.array(first_doc + np.arange(len(docs))), pa.array(docs, pa.int64()), pa.array(file_start + before + bounds[:-1]), pa.array(offset), pa.array(sizes_), blobs, pa.array(whole)], names=names)
 
     placed = blocks.join(F.broadcast(offsets), "file").select("file", "block", "before", "first_doc", "first_offset", "n_ids", "docs", "sizes", "ends", "payload", "file_start")
-    return placed.mapInArrow(run, "file int, doc_rank long, id long, start long, offset long, n long, ids binary, whole boolean")
+    return placed.mapInArrow(tidy(run), "file int, doc_rank long, id long, start long, offset long, n long, ids binary, whole boolean")
 
 
 def document_checksums(pieces: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def document_checksums(pieces: DataFrame) -> DataFrame:
     marked = materialize(pieces.select("file", "doc_rank", "id", "start", "n", F.crc32("ids").alias("crc"), "whole"), "id-checksums")
     single = marked.where("whole").select("id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     spread = marked.where("not whole").groupBy("file", "doc_rank").agg(F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct("start", "n", "crc"))).alias("parts"))
-    return single.unionByName(spread.select("id", "parts").mapInArrow(join_pieces, "id long, start long, n_tokens long, ids_crc32 long"))
+    return single.unionByName(spread.select("id", "parts").mapInArrow(tidy(join_pieces), "id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def new_path(spark: SparkSession) -> str:

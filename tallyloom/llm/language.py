@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8_of
+from .common import give_back, modest_batches, slices, tidy, utf8_of
 
 LANGUAGES = ("en", "fr", "de", "es")
 BUCKETS = 1 << 16
@@ -77,6 +77,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_text_model(df: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> np.ndarray:
     """log P(trigram bucket | language), languages x BUCKETS, from at most about ``sample`` labelled rows a language."""
+    modest_batches(df.sparkSession)
     rows = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isin(*languages))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
@@ -87,7 +88,7 @@ def fit_text_model(df: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
         for whole in batches:
-            for batch in slices(whole, 1, 2 << 20):
+            for batch in slices(whole, 1, 1 << 18):
                 bucket, text = trigrams(batch.column(1))
                 label = np.asarray([languages.index(x) for x in batch.column(0).to_pylist()])
                 total += np.bincount(label[text] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
@@ -96,7 +97,7 @@ def fit_text_model(df: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample
             part = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(label[part]), pa.array(bucket[part]), pa.array(total[label, bucket][part])], names=["label", "bucket", "n"])
 
-    counted = chosen.mapInArrow(count, "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(tidy(count), "label long, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     total = np.zeros((len(languages), BUCKETS))
     for r in counted.toLocalIterator():  # at most languages x BUCKETS rows
         total[r["label"], r["bucket"]] = r["n"]
@@ -121,6 +122,7 @@ def host_counts(df: DataFrame, host: Column, suffix: Column, declared: Column, l
 def identify_languages(df: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None, temper: float = 0.25, slip: float = 0.1, host_weight: float = 20.0, suffix_weight: float = 50.0, all_weight: float = 4.0, other_prior: float = 0.001, broadcast_hosts: int = 20_000) -> DataFrame:
     """``df`` with the columns language, confidence, text_language, n_trigrams and rejected."""
     spark = df.sparkSession
+    modest_batches(spark)
     k = len(languages)
     table = spark.sparkContext.broadcast(np.vstack([model, np.full((1, BUCKETS), -math.log(BUCKETS), np.float32)]))
 
@@ -130,13 +132,14 @@ def identify_languages(df: DataFrame, model: np.ndarray, languages: tuple[str, .
         sums, n = np.zeros((len(arrow), k + 1)), np.zeros(len(arrow), np.int64)
         batch = pa.RecordBatch.from_arrays([arrow], names=["text"])
         at = 0
-        for part in slices(batch, 0, 2 << 20):
+        for part in slices(batch, 0, 1 << 18):
             bucket, text = trigrams(part.column(0))
             rows = part.num_rows
             n[at : at + rows] = np.bincount(text, minlength=rows)
             for i, row in enumerate(table.value):
                 sums[at : at + rows, i] = np.bincount(text, weights=row[bucket], minlength=rows)
             at += rows
+        give_back()
         return pd.DataFrame({"scores": list(sums), "n": n})
 
     found = ("language", "confidence", "text_language", "n_trigrams", "rejected")

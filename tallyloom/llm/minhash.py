@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, narrowed, slices, utf8_of
+from .common import discard, materialize, narrowed, slices, tidy, utf8_of
 from .components import connected_components, sorted_groups, union_find
 from .shingles import shingle_sets, similar
 
@@ -64,11 +64,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, 1 << 18):
                 sets = shingle_sets(*utf8_of(batch.column(1)), words)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([signature(s, factors) if len(s) else None for s in sets], pa.binary())], names=["id", "n", "key", "signature"])
 
-    signed = materialize(source.mapInArrow(sign, "id long, n long, key binary, signature binary"), "minhash-signatures")
+    signed = materialize(source.mapInArrow(tidy(sign), "id long, n long, key binary, signature binary"), "minhash-signatures")
     classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = materialize(classes.withColumn("rep", F.coalesce("rep", F.xxhash64("key"))), "minhash-classes")
 
@@ -100,7 +100,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "task", "a", "b", "t", "order"])
 
     ranged = forest.repartitionByRange("t", "order", "rep").sortWithinPartitions("t", "order", "rep")
-    found = materialize(ranged.mapInArrow(neighbours, "kind int, task long, a long, b long, t int, order binary"), "minhash-neighbours")
+    found = materialize(ranged.mapInArrow(tidy(neighbours), "kind int, task long, a long, b long, t int, order binary"), "minhash-neighbours")
     # neighbours over a task's edge: two rows a task, in the order of tasks
     edges = sorted(found.where("kind > 0").select("task", "kind", "t", "order", "a").collect())
     across = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(edges, edges[1:]) if x.task != y.task and x.t == y.t and bytes(x.order)[:prefix] == bytes(y.order)[:prefix] and x.a != y.a]
@@ -114,12 +114,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, 1 << 18):
                 sets = shingle_sets(*utf8_of(batch.column(1)), words)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "key", "members"])
 
     texts = source.withColumnRenamed("id", "rep").join(wanted.select("rep"), "rep", "left_semi")
-    sets = texts.mapInArrow(read_sets, "rep long, key binary, members binary").join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep"])
+    sets = texts.mapInArrow(tidy(read_sets), "rep long, key binary, members binary").join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep"])
     sets = materialize(sets.select("rep", "members"), "minhash-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
-    links = materialize(both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), "minhash-links")
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(tidy(confirm), "a long, b long"), "minhash-links")
     parts = materialize(connected_components(links, name="minhash-components"), "minhash-parts")
 
     # regions that still hold several components

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import narrowed, slices, texts_of, tokenizer_path
+from .common import narrowed, slices, texts_of, tidy, tokenizer_path
 from .token_ids import id_table
 
 STRIDE = 256
@@ -80,6 +80,7 @@ class Packer:
 
     def __init__(self, sentence_ids: np.ndarray, first_sequence: int, length: int = 4096, sentence_penalty: float = 2.0, split_penalty: float = 32.0, horizon: int = 1 << 20):
         self.length, self.horizon, self.sentence_penalty, self.split_penalty = length, horizon, sentence_penalty, split_penalty
+        self.stride = min(STRIDE, length)
         self.closes = np.zeros(1 << 17, bool)
         self.closes[sentence_ids] = True
         self.next_sequence = first_sequence
@@ -106,10 +107,10 @@ class Packer:
         penalty[inner] = self.sentence_penalty
         penalty[doc_ends] = 0
         ends = np.flatnonzero(penalty >= 0)
-        gaps = np.flatnonzero(np.diff(np.concatenate([[0], ends])) > STRIDE)
+        gaps = np.flatnonzero(np.diff(np.concatenate([[0], ends])) > self.stride)
         for g in gaps.tolist():
             a, b = (int(ends[g - 1]) if g else 0), int(ends[g])
-            penalty[a + STRIDE : b : STRIDE] = self.split_penalty
+            penalty[a + self.stride : b : self.stride] = self.split_penalty
         ends = np.flatnonzero(penalty >= 0)
         cuts = choose_cuts(ends, penalty[ends], self.length)
         if not last:
@@ -136,15 +137,19 @@ class Packer:
         return out
 
 
-def pack_documents(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", sentence_penalty: float = 2.0, split_penalty: float = 32.0) -> DataFrame:
-    """Pieces (id, start, length, doc_tokens, sequence_id, offset, ids binary: little-endian uint32), in order inside each sequence."""
+def pack_documents(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", sentence_penalty: float = 2.0, split_penalty: float = 32.0, table_size: int = 500_000, keep_table: bool = True) -> DataFrame:
+    """Pieces (id, start, length, doc_tokens, sequence_id, offset, ids binary: little-endian uint32), in order inside each sequence.
+
+    A worker's table of known words outlives its tasks unless ``keep_table`` is
+    false, which frees its memory and costs about twice the tokenizing time.
+    """
     source = narrowed(df, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
     names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path(vocabulary)
-        table = id_table(path)
+        table = id_table(path, size=table_size)
         vocab = json.load(open(path))["model"]["vocab"]
         closing = np.asarray([i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in {".", "!", "?"}], np.int64)
         packer = Packer(closing, TaskContext.get().partitionId() << 36, length, sentence_penalty, split_penalty)
@@ -166,11 +171,13 @@ def pack_documents(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
 
         for whole in batches:
             id_type = whole.column(0).type
-            for batch in slices(whole, 1, 4 << 20):
+            for batch in slices(whole, 1, 1 << 20):
                 for doc, ids in zip(batch.column(0).to_pylist(), table.encode(texts_of(batch.column(1)), end)):
                     packer.add(doc, np.frombuffer(ids, table.dtype))
                     if packer.full():
                         yield from emit(False)
         yield from emit(True)
+        if not keep_table:
+            table.clear()
 
-    return source.mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return source.mapInArrow(tidy(run), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

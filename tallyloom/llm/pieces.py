@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import int_lists, narrowed, slices, texts_of, tokenizer_path
+from .common import int_lists, narrowed, slices, texts_of, tidy, tokenizer_path
 
 MARK = "▁"
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
@@ -33,7 +33,7 @@ _loaded: dict[tuple[str, int], "ChunkTable"] = {}
 class ChunkTable:
     """Distinct marked words and their ids, packed as int32."""
 
-    def __init__(self, path: str, table_size: int = 600_000):
+    def __init__(self, path: str, table_size: int = 400_000):
         import numpy as np
         import sentencepiece
 
@@ -70,24 +70,24 @@ class ChunkTable:
         return out
 
 
-def table_for(path: str, size: int = 600_000) -> ChunkTable:
+def table_for(path: str, size: int = 400_000) -> ChunkTable:
     if (path, size) not in _loaded:
         _loaded[path, size] = ChunkTable(path, size)
     return _loaded[path, size]
 
 
-def encode_pieces(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", table_size: int = 600_000) -> DataFrame:
+def encode_pieces(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", table_size: int = 400_000) -> DataFrame:
     """(id, ids array<int>): the library's ids of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_for(tokenizer_path(model), table_size)
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 20):
                 ids = int_lists(table.encode(texts_of(batch.column(1))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     source = narrowed(df, id=id_col, text=text_col)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_pieces(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -102,4 +102,4 @@ def decode_pieces(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
     source = narrowed(df, id=id_col, ids=ids_col)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"TLR1"
-_HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, steps, vocabulary, crc of the ids, crc of what follows
+_HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, steps, vocabulary, crc of the ids, crc of the header so far and of what follows
 TOTAL_BITS, ZERO_BITS, SLOT_BITS = 26, 18, 18
 _TOTAL, _ZERO = np.uint64(1 << TOTAL_BITS), 1 << ZERO_BITS
 _U = np.uint64
@@ -201,7 +201,8 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         used += 2
         body = used.astype("<u4").tobytes() + words[np.arange(words.shape[1]) < used[:, None]].astype("<u2").tobytes()
     raw = np.ascontiguousarray(ids, "<u4").tobytes()
-    return _HEAD.pack(MAGIC, n, lanes, steps, vocabulary, zlib.crc32(raw), zlib.crc32(body)) + body
+    head = _HEAD.pack(MAGIC, n, lanes, steps, vocabulary, zlib.crc32(raw), 0)[:-4]
+    return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -210,8 +211,8 @@ def decode_block(block: bytes) -> np.ndarray:
         raise CorruptBlock("short header")
     magic, n, lanes, steps, vocabulary, crc_ids, crc_body = _HEAD.unpack_from(block)
     body = memoryview(block)[_HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != crc_body:
-        raise CorruptBlock("checksum of the body")
+    if magic != MAGIC or zlib.crc32(body, zlib.crc32(block[: _HEAD.size - 4])) != crc_body:
+        raise CorruptBlock("checksum of the block")
     if not n:
         return np.zeros(0, np.uint32)
     used = np.frombuffer(body[: 4 * lanes], "<u4").astype(np.int64)

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, numbered, slices, utf8_of
+from .common import discard, give_back, materialize, numbered, slices, tidy, utf8_of
 from .fingerprints import _table, mixed
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -195,8 +195,11 @@ def repeated_windows(raw: list[bytes], doc: np.ndarray, start: np.ndarray, width
 
 
 # ---- the distributed steps ----------------------------------------------
-def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: str = "doc_id", text_col: str = "text", block: int = 3000, shard_bytes: int = 1 << 17, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans long, kept binary) of every row, and the columns named in ``carry``."""
+def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: str = "doc_id", text_col: str = "text", block: int = 3000, shard_bytes: int = 1 << 17, carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans long, kept binary) of every row, and the columns named in ``carry``.
+
+    ``decoded``: kept is a string, without the characters that were cut in two.
+    """
     if width % 2 or width > 120:
         raise ValueError("width: an even number of bytes up to 120")
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("carried"))
@@ -225,7 +228,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 text, start, windows, key, content = stretches(*utf8_of(batch.column(1)), width, anchor)
                 if len(text):
                     held.append(np.stack([batch.column(0).to_numpy()[text], start, windows, key, content]))
-                if sum(h.shape[1] for h in held) > 1_000_000:
+                if sum(h.shape[1] for h in held) > 300_000:
                     yield from settle()
         if held:
             yield from settle()
@@ -267,9 +270,9 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
             if out.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "start", "size", "key", "kind"])
 
-    looked = texts.mapInArrow(first_look, "key long, content long, doc long, place long")
+    looked = texts.mapInArrow(tidy(first_look), "key long, content long, doc long, place long")
     looked = looked.repartition("key").sortWithinPartitions("key", "content", "doc", F.abs("place"))
-    found = materialize(looked.mapInArrow(second_look, "doc long, start long, size long, key long, kind long"), "repeats-found", "kind")
+    found = materialize(looked.mapInArrow(tidy(second_look), "doc long, start long, size long, key long, kind long"), "repeats-found", "kind")
 
     wanted = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key")).alias("wanted"))
 
@@ -283,7 +286,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 columns = zip(*out[at : at + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc", "start", "raw"])
 
-    rims = materialize(texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "key long, doc long, start long, raw binary"), "repeats-rims")
+    rims = materialize(texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(tidy(fetch), "key long, doc long, start long, raw binary"), "repeats-rims")
     sizes = rims.groupBy("key").agg(F.count("*").alias("n"))
     dealt = rims.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc", "start"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -311,12 +314,12 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
         if raw:
             yield from settle()
 
-    merged = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc", "start").mapInArrow(merge, "doc long, start long, size long")
+    merged = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc", "start").mapInArrow(tidy(merge), "doc long, start long, size long")
     merged = materialize(merged, "repeats-merged")
     discard(rims)
     spans = found.where("kind = 0").select("doc", "start", "size").unionByName(merged).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
     def cut(texts_: pd.Series, spans_: pd.Series) -> pd.DataFrame:
         out = []
         for text, gone in zip(texts_, spans_):
@@ -330,7 +333,9 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 removed += max(0, b - done)
                 done = max(done, b)
             kept.append(raw[done:])
-            out.append((len(raw), removed, runs, b"".join(kept)))
+            rest = b"".join(kept)
+            out.append((len(raw), removed, runs, rest.decode("utf-8", "ignore") if decoded else rest))
+        give_back()
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     done = docs.join(spans, "doc", "left").withColumn("cut", cut("text", "spans"))

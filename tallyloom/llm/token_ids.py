@@ -61,6 +61,9 @@ class IdTable:
         self.pattern = _WORD_LEVEL if self.drops_white else _BYTE_LEVEL
         self.symbols = {b: c for c, b in byte_symbols().items()}  # for str.translate
 
+    def clear(self) -> None:
+        self.known, self.parts = {}, {}
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
@@ -121,9 +124,10 @@ class IdTable:
         return out
 
 
-def id_table(path: str, dtype: str = "<u4") -> IdTable:
+def id_table(path: str, dtype: str = "<u4", size: int = 500_000) -> IdTable:
     """The worker's table for a vocabulary; it outlives tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, dtype) not in _tables:
         _tables[path, dtype] = IdTable(path, dtype)
+    _tables[path, dtype].size = size
     return _tables[path, dtype]
