@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +29,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the passages of 100 bytes and more that stand in an earlier one; characters cut in two go."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = repeats.remove_repeats(docs, width=100, carry=others)
-
-    @F.pandas_udf("string")
-    def text_of(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: b.decode("utf-8", "ignore"))
-
-    done = cut.withColumn("doc_id", F.col("id")).withColumn("text", text_of("kept")).withColumn("n_chars", F.length("text").cast("long"))
+    cut = repeats.remove_repeats(docs, width=100, carry=others, decoded=True)
+    done = cut.withColumn("doc_id", F.col("id")).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
     return done.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 4096 ids."""
-    packed = packing.pack_documents(docs, "word_bpe_49k.json", end_id=2, length=4096)
+    packed = packing.pack_documents(docs, "word_bpe_49k.json", end_id=2, length=4096, table_size=150_000, keep_table=False)
     return packed.withColumnRenamed("id", "doc_id")
 
 
