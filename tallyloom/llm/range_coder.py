@@ -2,8 +2,8 @@
 
 A block is coded on its own: models start afresh, its header carries checksums.
 Its ids are cut into lanes that advance in lock-step, one id a lane and step;
-all lanes share one model, which is updated after each step, so it learns as if
-it had read the ids of all lanes so far.
+all lanes share one model, so it learns as if it had read the ids of all lanes
+so far: candidates after each step, probabilities and weights every few.
 
 An id is predicted by order 2 (what followed the last two ids, a hashed table of
 candidates with confidences), order 1 (what followed the last id) and order 0
@@ -13,7 +13,9 @@ and squashed, and the weights follow the coding error.  The interval of an id is
 [order-2 hit | order-1 hit | order-0 share].  All model arithmetic is on
 integers, so every machine decodes alike.
 
-The coder is a carry-less range coder on 64-bit state with 16-bit words.
+The coder is a carry-less range coder on 64-bit state with 32-bit words: a lane
+whose span falls below one word's worth gives out the top word of its interval,
+cut to that word first where it straddles two.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TLR1"
+MAGIC = b"TLR2"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, steps, vocabulary, crc of the ids, crc of the header so far and of what follows
 TOTAL_BITS, ZERO_BITS, SLOT_BITS = 26, 18, 18
-_TOTAL, _ZERO = np.uint64(1 << TOTAL_BITS), 1 << ZERO_BITS
+_ZERO = 1 << ZERO_BITS
 _U = np.uint64
+_WORD, _LOW_WORD, _FULL = _U(32), _U((1 << 32) - 1), _U(1 << 32)
+#: Steps between updates of probabilities and weights, and of the frequencies.
+MIX_STEPS, ZERO_STEPS = 4, 16
 
 
 class CorruptBlock(ValueError):
@@ -79,23 +84,29 @@ class _Mixer:
 
 
 class Model:
-    """Predictions for a step of all lanes, and their update."""
+    """Predictions for a step of all lanes, and their update.
+
+    A candidate and its confidence (0 to 7) stand in one entry: candidate * 8 + confidence.
+    """
 
     def __init__(self, vocabulary: int, lanes: int):
         self.v = vocabulary
         self.count = np.zeros(vocabulary, np.int64)
         self.recent: list[np.ndarray] = []
-        self.next1, self.sure1 = np.full(vocabulary, -1, np.int32), np.zeros(vocabulary, np.int8)
-        self.next2, self.sure2 = np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1 << SLOT_BITS, np.int8)
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.after1 = np.full(vocabulary, -8, np.int32)
+        self.after2 = np.full(1 << SLOT_BITS, -8, np.int32)
+        self.last1 = self.last2 = np.zeros(lanes, np.int64)
         self.q2, self.q1, self.j2, self.r1, self.j1 = _Counter(8), _Counter(16), _Counter(128), _Counter(8), _Counter(128)
         self.m2, self.m1 = _Mixer(3), _Mixer(2)
         c = np.arange(128)
         self.c2, self.c1, self.same = c >> 4, (c >> 1) & 7, c & 1
+        self.keys: list[np.ndarray] = []
         self.step = 0
         self._zero()
+        self._mix()
 
     def _zero(self) -> None:
+        """Frequencies of the ids so far as shares of a fixed total, at least one each."""
         if self.recent:
             self.count += np.bincount(np.concatenate(self.recent), minlength=self.v)
             self.recent = []
@@ -108,30 +119,26 @@ class Model:
         share[-1] += _ZERO - share.sum()
         self.cdf = np.zeros(self.v + 1, np.int64)
         np.cumsum(share, out=self.cdf[1:])
+        self.share = share
         self.inverse = None
 
     def symbol(self, y: np.ndarray) -> np.ndarray:
         if self.inverse is None:
-            self.inverse = np.repeat(np.arange(self.v, dtype=np.int32), np.diff(self.cdf))
-        return self.inverse[y]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 candidate, order-1 candidate, mass of each) of every lane."""
-        self.slot = ((self.last2 * 0x9E3779B1 + self.last1 * 0x85EBCA77) >> 7) & ((1 << SLOT_BITS) - 1)
-        a, b = self.next2[self.slot], self.next1[self.last1]
-        self.context = (self.sure2[self.slot].astype(np.int64) << 4) | (self.sure1[self.last1].astype(np.int64) << 1) | (a == b)
+            self.inverse = np.repeat(np.arange(self.v, dtype=np.int32), self.share)
+        return self.inverse.take(y)
+
+    def _mix(self) -> None:
+        """Masses of both candidates by context (confidences, and whether they are the same)."""
         p2 = self.m2.mix(np.stack([_stretch(self.q2.p())[self.c2], _stretch(self.q1.p())[self.c1 * 2 + self.same], _stretch(self.j2.p())]))
         p1 = self.m1.mix(np.stack([_stretch(self.r1.p())[self.c1], _stretch(self.j1.p())]))
-        mass2 = p2 << (TOTAL_BITS - 16)
-        mass1 = np.where(self.same == 1, 0, (((1 << TOTAL_BITS) - mass2) * p1) >> 16)
-        return a, b, mass2[self.context], mass1[self.context]
-
-    def update(self, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        hit2 = a == x
-        hit1 = b == x
-        seen = np.bincount(self.context, minlength=128)
-        got2 = np.bincount(self.context[hit2], minlength=128)
-        got1 = np.bincount(self.context[hit1 & ~hit2], minlength=128)
+        self.mass2 = p2 << (TOTAL_BITS - 16)
+        self.mass1 = np.where(self.same == 1, 0, (((1 << TOTAL_BITS) - self.mass2) * p1) >> 16)
+        self.both = self.mass2 + self.mass1
+
+    def _learn(self) -> None:
+        got2, got1, missed = np.bincount(np.concatenate(self.keys), minlength=384).reshape(3, 128)
+        self.keys = []
+        seen = got2 + got1 + missed
         by = lambda n, at, values: np.bincount(at, weights=values, minlength=n).astype(np.int64)  # noqa: E731  exact below 2^53
         open1 = np.where(self.same == 1, 0, seen - got2)
         self.m2.update(got2, seen)
@@ -141,15 +148,37 @@ class Model:
         self.j2.update(got2, seen)
         self.r1.update(by(8, self.c1, got1), by(8, self.c1, open1))
         self.j1.update(got1, open1)
-        for nxt, sure, at, hit in ((self.next2, self.sure2, self.slot, hit2), (self.next1, self.sure1, self.last1, hit1)):
-            level = sure[at]
-            fresh = ~hit & (level == 0)
-            sure[at] = np.where(hit, np.minimum(level + 1, 7), np.maximum(level, 1) - 1)
-            nxt[at[fresh]] = x[fresh]
+        self._mix()
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(order-2 candidate, order-1 candidate) of every lane; the lanes' contexts are left in ``context``."""
+        slot = self.last2 * 0x9E3779B1
+        slot += self.last1 * 0x85EBCA77
+        slot >>= 7
+        slot &= (1 << SLOT_BITS) - 1
+        self.slot = slot
+        self.entry2, self.entry1 = self.after2.take(slot), self.after1.take(self.last1)
+        self.sure2, self.sure1 = self.entry2 & 7, self.entry1 & 7
+        a, b = self.entry2 >> 3, self.entry1 >> 3
+        context = self.sure2 << 3
+        context |= self.sure1
+        context <<= 1
+        context |= a == b
+        self.context = context.astype(np.int64)
+        return a, b
+
+    def update(self, x: np.ndarray, outcome: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``x`` (int32) came; ``outcome`` is 0 for the order-2 candidate, 1 for the order-1 candidate, 2 for neither."""
+        self.keys.append((outcome << 7) + self.context)
+        fresh = x << 3
+        for table, at, entry, sure, hit in ((self.after2, self.slot, self.entry2, self.sure2, hit2), (self.after1, self.last1, self.entry1, self.sure1, hit1)):
+            table[at] = np.where(hit, entry + (sure < 7), np.where(sure == 0, fresh, entry - 1))
         self.recent.append(x)
         self.last2, self.last1 = self.last1, x.astype(np.int64)
         self.step += 1
-        if self.step % 8 == 0 or self.step in (1, 2, 4):
+        if self.step % MIX_STEPS == 0 or self.step < MIX_STEPS:
+            self._learn()
+        if self.step % ZERO_STEPS == 0 or self.step in (1, 2, 4, 8):
             self._zero()
 
 
@@ -158,6 +187,18 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Take the share [start, start + size) of each lane's interval; the lanes that are to shift by a word, spans cut so that they can."""
+    low += start.view(_U) * unit
+    np.multiply(size.view(_U), unit, out=span)
+    at = np.flatnonzero(span < _FULL)
+    if len(at):
+        some = low.take(at)
+        # up to the end of the word's range; a straddling span is larger than what is left there
+        span[at] = np.minimum(span.take(at), (~some & _LOW_WORD) + _U(1)) << _WORD
+    return at
+
+
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """The block of these ids (any number, below ``vocabulary``)."""
     n = len(ids)
@@ -169,37 +210,35 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
         model = Model(vocabulary, lanes)
         low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-        words, used = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+        words, used = np.zeros((lanes, steps + 2), np.uint32), np.zeros(lanes, np.int64)
         for t in range(steps):
             x = grid[t]
-            a, b, mass2, mass1 = model.predict()
-            rest = (1 << TOTAL_BITS) - mass2 - mass1
-            left, right = model.cdf[x] * rest >> ZERO_BITS, model.cdf[x + 1] * rest >> ZERO_BITS
+            a, b = model.predict()
+            mass2, both = model.mass2.take(model.context), model.both.take(model.context)
+            rest = (1 << TOTAL_BITS) - both
+            left = model.cdf.take(x)
+            right = model.share.take(x)
+            right += left
+            left *= rest
+            left >>= ZERO_BITS
+            right *= rest
+            right >>= ZERO_BITS
+            right -= left
+            left += both
             hit2, hit1 = a == x, b == x
-            start = np.where(hit2, 0, np.where(hit1, mass2, mass2 + mass1 + left)).astype(_U)
-            size = np.where(hit2, mass2, np.where(hit1, mass1, right - left)).astype(_U)
-            unit = span >> _U(TOTAL_BITS)
-            low += start * unit
-            span = size * unit
-            while True:
-                settled = ((low ^ (low + span)) >> _U(48)) == 0
-                tight = ~settled & (span < _U(1 << 32))
-                at = np.flatnonzero(settled | tight)
-                if not len(at):
-                    break
-                if tight.any():
-                    span[tight] = (~low[tight] + _U(1)) & _U((1 << 32) - 1)
-                words[at, used[at]] = (low[at] >> _U(48)).astype(np.uint16)
+            outcome = np.where(hit2, 0, 2 - hit1)
+            start = np.where(hit2, 0, np.where(hit1, mass2, left))
+            size = np.where(hit2, mass2, np.where(hit1, both - mass2, right))
+            at = _narrow(low, span, start, size, span >> _U(TOTAL_BITS))
+            if len(at):
+                some = low.take(at)
+                words[at, used.take(at)] = some >> _WORD
                 used[at] += 1
-                low[at] <<= _U(16)
-                span[at] <<= _U(16)
-            model.update(x, a, b)
-        last = (low + _U((1 << 32) - 1)) >> _U(32)
-        rows = np.arange(lanes)
-        words[rows, used] = (last >> _U(16)).astype(np.uint16)
-        words[rows, used + 1] = (last & _U(0xFFFF)).astype(np.uint16)
-        used += 2
-        body = used.astype("<u4").tobytes() + words[np.arange(words.shape[1]) < used[:, None]].astype("<u2").tobytes()
+                low[at] = some << _WORD
+            model.update(x, outcome, hit2, hit1)
+        words[np.arange(lanes), used] = (low + _LOW_WORD) >> _WORD
+        used += 1
+        body = used.astype("<u4").tobytes() + words[np.arange(words.shape[1]) < used[:, None]].astype("<u4").tobytes()
     raw = np.ascontiguousarray(ids, "<u4").tobytes()
     head = _HEAD.pack(MAGIC, n, lanes, steps, vocabulary, zlib.crc32(raw), 0)[:-4]
     return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
@@ -216,48 +255,45 @@ def decode_block(block: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     used = np.frombuffer(body[: 4 * lanes], "<u4").astype(np.int64)
-    words = np.concatenate([np.frombuffer(body[4 * lanes :], "<u2").astype(_U), np.zeros(8, _U)])
+    words = np.concatenate([np.frombuffer(body[4 * lanes :], "<u4"), np.zeros(2, np.uint32)]).astype(_U)
     ends = np.cumsum(used)
-    at = ends - used
+    place = ends - used
 
     def take(lane_at: np.ndarray, lane_ends: np.ndarray) -> np.ndarray:
-        return np.where(lane_at < lane_ends, words[np.minimum(lane_at, len(words) - 1)], _U(0))
+        return np.where(lane_at < lane_ends, words.take(np.minimum(lane_at, len(words) - 1)), _U(0))
 
-    code = np.zeros(lanes, _U)
-    for _ in range(4):
-        code = code << _U(16) | take(at, ends)
-        at += 1
+    code = take(place, ends) << _WORD | take(place + 1, ends)
+    place += 2
     model = Model(vocabulary, lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
     grid = np.empty((steps, lanes), np.int32)
     for t in range(steps):
-        a, b, mass2, mass1 = model.predict()
+        a, b = model.predict()
+        mass2, both = model.mass2.take(model.context), model.both.take(model.context)
+        rest = (1 << TOTAL_BITS) - both
         unit = span >> _U(TOTAL_BITS)
-        v = np.minimum((code - low) // unit, _TOTAL - _U(1)).astype(np.int64)
-        rest = (1 << TOTAL_BITS) - mass2 - mass1
-        hit2 = v < mass2
-        hit1 = ~hit2 & (v < mass2 + mass1)
-        miss = ~hit2 & ~hit1
-        y = (((np.where(miss, v - mass2 - mass1, 0) + 1) << ZERO_BITS) - 1) // rest
-        x = np.where(hit2, a, np.where(hit1, b, model.symbol(y))).astype(np.int32)
-        left, right = model.cdf[x] * rest >> ZERO_BITS, model.cdf[x + 1] * rest >> ZERO_BITS
-        start = np.where(hit2, 0, np.where(hit1, mass2, mass2 + mass1 + left)).astype(_U)
-        size = np.where(hit2, mass2, np.where(hit1, mass1, right - left)).astype(_U)
-        low += start * unit
-        span = size * unit
-        while True:
-            settled = ((low ^ (low + span)) >> _U(48)) == 0
-            tight = ~settled & (span < _U(1 << 32))
-            go = np.flatnonzero(settled | tight)
-            if not len(go):
-                break
-            if tight.any():
-                span[tight] = (~low[tight] + _U(1)) & _U((1 << 32) - 1)
-            low[go] <<= _U(16)
-            span[go] <<= _U(16)
-            code[go] = code[go] << _U(16) | take(at[go], ends[go])
-            at[go] += 1
-        model.update(x, a, b)
+        v = ((code - low) // unit).view(np.int64)
+        np.minimum(v, (1 << TOTAL_BITS) - 1, out=v)
+        in2, in1 = v < mass2, v < both
+        miss = np.flatnonzero(~in1)
+        x = np.where(in2, a, b)
+        start = np.where(in2, 0, mass2)
+        size = np.where(in2, mass2, both - mass2)
+        outcome = np.where(in2, 0, 1)
+        if len(miss):
+            base, room = both.take(miss), rest.take(miss)
+            got = model.symbol((((v.take(miss) - base + 1) << ZERO_BITS) - 1) // room)
+            left = model.cdf.take(got)
+            right = (left + model.share.take(got)) * room >> ZERO_BITS
+            left = left * room >> ZERO_BITS
+            x[miss], start[miss], size[miss], outcome[miss] = got, base + left, right - left, 2
+        at = _narrow(low, span, start, size, unit)
+        if len(at):
+            low[at] <<= _WORD
+            some = place.take(at)
+            code[at] = code.take(at) << _WORD | take(some, ends.take(at))
+            place[at] = some + 1
+        model.update(x, outcome, a == x, b == x)
         grid[t] = x
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
