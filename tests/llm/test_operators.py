@@ -62,6 +62,24 @@ def test_id_table(name):
         assert got == [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_id_table_by_ranks():
+    """Every token of the vocabulary as a text and as a unit, white space of all kinds beside cuts, tables of all sizes."""
+    name = tokenizer_path("byte_bpe_50k.json")
+    table = token_ids.IdTable(name)
+    assert table.ranked is not None
+    texts = [table.library.decode([i]) for i in range(table.library.get_vocab_size())]
+    texts.append(" ".join(texts))
+    white = ["", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
+    texts += ["".join(RNG.choice(white) + RNG.choice(["a", "'s", "é", "1", "!", "Ω", ""]) + RNG.choice(["", " "]) for _ in range(12)) for _ in range(4000)]
+    want = [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
+    for size, held in ((500_000, 64 << 20), (50, 64 << 20), (500_000, 100)):
+        table = token_ids.IdTable(name, size=size)
+        table.held_bytes = held
+        got = [x for at in range(0, len(texts), 700) for x in table.encode(texts[at : at + 700])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert table.encode([]) == []
+
+
 def test_pieces(docs):
     model = pieces.table_for(tokenizer_path("piece_bpe_32k.model")).model
     got = {r["id"]: (r["ids"], r["decoded"]) for r in pieces.decode_pieces(pieces.encode_pieces(docs)).collect()}
