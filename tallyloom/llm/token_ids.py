@@ -1,26 +1,23 @@
 """Library token ids by way of a table of distinct units.
 
-A text is cut at its blanks (U+0020).  Where no vocabulary's pre-token can reach
-over such a cut, the units between are segmented independently, so each task
-keeps a bounded table (unit -> packed ids, the ids coming from the library) and
-joins a text's ids from it.
+Where no vocabulary's pre-token can reach over a cut, the units between cuts are
+segmented independently, so each worker keeps a bounded table (unit -> ids, see
+:mod:`unit_columns`) and joins a text's ids from it.
 
 * Vocabularies that drop white space: a unit is what stands between white space.
-* Byte-level vocabularies: a unit is a blank and what follows it.  The cut is
-  where the library itself splits, except where a blank stands behind white
-  space and before white space or the end; such texts go to the library whole.
-
-Texts that hold a special string go to the library whole as well.  Units that
-the table lacks are cut into pre-tokens, which the library's model segments; a
-unit with other characters than those for which the pattern here is known to
-cut as the library does goes to the library as it is.
-
-For byte-level vocabularies whose ids are their merges' ranks, the way to the
-table is columnar: a batch is cut and its units are numbered in Arrow, each
-distinct unit is looked up once, and ids are gathered in numpy.  Units that the
-table lacks are segmented all at once, with the vocabulary's own ranks, and cut
-where the tokens' bytes reach a unit's end; those of other characters, empty
-ones and those with white space at an end go to the library.
+  New units are cut into pre-tokens, which the library's model segments; a unit
+  with other characters than those for which the pattern here is known to cut as
+  the library does goes to the library as it is.
+* Byte-level vocabularies whose ids are their merges' ranks: a unit is a blank
+  and what follows it.  New units are segmented all at once, with the
+  vocabulary's own ranks, and cut where the tokens' bytes reach a unit's end;
+  those of other characters, empty ones and those with white space at an end go
+  to the library.  The cut is where the library itself splits, except where a
+  blank stands behind white space and before white space or the end; such texts
+  go to the library whole.
+
+Texts that hold a special string, and all of other vocabularies, go to the
+library whole as well.
 """
 
 from __future__ import annotations
@@ -35,30 +32,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .counts import byte_symbols
+from .unit_columns import UnitColumns
 
 _tables: dict[tuple[str, str], "IdTable"] = {}
 #: Anything but printable ASCII, plain white space and Latin letters up to U+024F (without the dotted I, digit-like signs and the no-break space).
 _UNUSUAL = re.compile("[^\t\n\r -~¡-©«-±´-¸»À-įı-ɏ]")
 #: Empty units, those with white space at an end, and unusual ones; for Arrow.
 _APART = "^$|^[\t\n\r]|[\t\n\r]$|" + _UNUSUAL.pattern
-_BYTE_LEVEL = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_RUN = re.compile(r"\s (?:\s|\Z)")
-_WIDE_RUN = re.compile("[\x85\xa0  -     　] (?:\\s|\\Z)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
-_PAIRS = tuple(f"{c} " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
-
 #: White space before and behind a cut, as flags.
 _BEFORE, _BEHIND = 1, 2
 
 
-def _blank_inside_white_space(text: str) -> bool:
-    """Whether a blank has white space before it and white space or the end after it."""
-    if any(pair in text for pair in _PAIRS) and _RUN.search(text):
-        return True
-    return not text.isascii() and _WIDE_RUN.search(text) is not None
-
-
 def _token_bytes(vocab: dict[str, int]) -> dict[bytes, int]:
     """A byte-level vocabulary's tokens as bytes."""
     bytes_of = byte_symbols()
@@ -67,11 +53,8 @@ def _token_bytes(vocab: dict[str, int]) -> dict[bytes, int]:
 
 def _ranked(model: dict):
     """An encoder by the ranks of a byte-level vocabulary, where the k-th merge makes the id 256 + k; else None."""
-    try:
-        import tiktoken
-    except ImportError:
-        return None
     import public_tokenizers
+    import tiktoken
 
     made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
     if any(model["vocab"].get(token) != 256 + k for k, token in enumerate(made)):
@@ -80,13 +63,6 @@ def _ranked(model: dict):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _gather(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """flat[begin:begin + n] of every row, end to end."""
-    at = np.repeat(begin - (np.cumsum(n) - n), n)
-    at += np.arange(len(at))
-    return flat.take(at)
-
-
 class IdTable:
     def __init__(self, path: str, dtype: str = "<u4", size: int = 500_000):
         from tokenizers import Tokenizer
@@ -97,73 +73,50 @@ class IdTable:
         self.library.no_padding()
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.drops_white = spec["normalizer"] is not None and "\\s" in json.dumps(spec["pre_tokenizer"])
-        self.dtype, self.size, self.held_bytes = np.dtype(dtype), size, 64 << 20
-        self.known: dict[str, bytes] = {}
+        self.dtype, self.size = np.dtype(dtype), size
         self.parts: dict[str, bytes] = {}  # pre-tokens
-        self.pattern = _WORD_LEVEL if self.drops_white else _BYTE_LEVEL
         self.symbols = {b: c for c, b in byte_symbols().items()}  # for str.translate
         self.ranked = None if self.drops_white else _ranked(spec["model"])
         if self.ranked is not None:
             self.n_bytes = np.zeros(len(spec["model"]["vocab"]) + 1, np.int64)
             for token, rank in _token_bytes(spec["model"]["vocab"]).items():
                 self.n_bytes[rank] = len(token)
-        self._forget()
+        self.columns = UnitColumns(self.dtype, size, self._learn_units if self.drops_white else self._learn_ranked)
 
     def clear(self) -> None:
-        self.known, self.parts = {}, {}
-        self._forget()
-
-    def _forget(self) -> None:
-        """The columnar table: units, their ids end to end, and whether white space is before or behind a cut at them."""
-        self.units = pa.array([], pa.string())
-        self.flat, self.begin, self.n_ids = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.white = np.zeros(0, np.int8)
-
-    def _add(self, units: pa.Array, flat: np.ndarray, n_ids: np.ndarray, white: np.ndarray) -> None:
-        self.units = pa.concat_arrays([self.units, units])
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n_ids) - n_ids])
-        self.flat = np.concatenate([self.flat, flat.astype(self.dtype, copy=False)])
-        self.n_ids, self.white = np.concatenate([self.n_ids, n_ids]), np.concatenate([self.white, white])
-
-    def _rows(self, units: pa.Array) -> np.ndarray:
-        """The table's rows of distinct units, of which it then holds all."""
-        found = pc.index_in(units, value_set=self.units)
-        if not found.null_count:
-            return found.to_numpy()
-        fresh = units.filter(found.is_null())
-        if len(self.units) + len(fresh) > self.size or self.units.nbytes > self.held_bytes:
-            # what these texts hold stays: it includes the frequent units
-            rows = found.drop_null()
-            kept, rows = self.units.take(rows), rows.to_numpy()
-            flat, n_ids, white = _gather(self.flat, self.begin[rows], self.n_ids[rows]), self.n_ids[rows], self.white[rows]
-            self._forget()
-            self._add(kept, flat, n_ids, white)
+        self.parts = {}
+        self.columns.forget()
+
+    def _learn_ranked(self, fresh: pa.Array) -> None:
+        """Units behind a blank, with flags of white space at their ends."""
         apart = pc.match_substring_regex(fresh, _APART)
         odd, plain = fresh.filter(apart), fresh.filter(pc.invert(apart))
         if len(odd):
             texts = odd.to_pylist()
-            ids = self._library([" " + u for u in texts])
             white = [(not u or u[0].isspace()) * _BEHIND + (not u or u[-1].isspace()) * _BEFORE for u in texts]
-            self._add(odd, np.frombuffer(b"".join(ids), self.dtype), np.asarray([len(x) for x in ids], np.int64) // self.dtype.itemsize, np.asarray(white, np.int8))
+            self.columns.add_packed(odd, self._library([" " + u for u in texts]), np.asarray(white, np.int8))
         if len(plain):
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
             ids = np.asarray(self.ranked.encode_ordinary(" " + joined), np.int64)
             ends = np.cumsum(pc.binary_length(plain).to_numpy() + 1)
             upto = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            self._add(plain, ids, np.diff(upto, prepend=0), np.zeros(len(plain), np.int8))
-        return pc.index_in(units, value_set=self.units).to_numpy()
+            self.columns.add(plain, ids, np.diff(upto, prepend=0))
 
-    def _columnar(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts without special strings."""
+    def _learn_units(self, fresh: pa.Array) -> None:
+        units = fresh.to_pylist()
+        ids = self._units(units)
+        self.columns.add_packed(fresh, [ids[u] for u in units])
+
+    def _ranked_texts(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts without special strings, by ranks."""
         if not texts:
             return []
         cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        units = cut.values.dictionary_encode()
-        item = self._rows(units.dictionary)[units.indices.to_numpy()]
+        item = self.columns.items(cut.values)
         first = cut.offsets.to_numpy().astype(np.int64)
         # a text with a blank that has white space before it, and white space or the end behind it, goes to the library;
         # an empty first unit has nothing before it
-        white = self.white[item]
+        white = self.columns.flags[item]
         before = (white & _BEFORE) != 0
         before[first[:-1]] &= np.fromiter((not t.startswith(" ") for t in texts), bool, len(texts))
         inside = np.flatnonzero(before[:-1] & ((white[1:] & _BEHIND) != 0))
@@ -171,15 +124,23 @@ class IdTable:
         whole = np.unique(of[inside + 1 < first[of + 1]]).tolist()
         # a text's first unit has no blank before it
         heads = self._library([t.split(" ", 1)[0] for t in texts])
-        n_ids = self.n_ids[item]
+        n_ids = self.columns.n_ids[item]
         n_ids[first[:-1]] = 0
-        data = _gather(self.flat, self.begin[item], n_ids).tobytes()
-        bounds = (np.concatenate([[0], np.cumsum(n_ids)])[first] * self.dtype.itemsize).tolist()
-        out = [head + data[a:b] for head, a, b in zip(heads, bounds, bounds[1:])]
+        out = [head + ids for head, ids in zip(heads, self.columns.texts(item, n_ids, first))]
         for k, ids in zip(whole, self._library([texts[k] for k in whole])):
             out[k] = ids
         return out
 
+    def _word_texts(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts without special strings and separators, for vocabularies that drop white space."""
+        if not texts:
+            return []
+        # these two letters' lower case depends on more than the character; all others' is as the library's
+        lower = [t if "Σ" in t or "İ" in t else t.lower() for t in texts]
+        cut = pc.ascii_split_whitespace(pa.array(lower, pa.string()))
+        item = self.columns.items(cut.values)
+        return self.columns.texts(item, self.columns.n_ids[item], cut.offsets.to_numpy().astype(np.int64))
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
@@ -188,8 +149,7 @@ class IdTable:
         return array("I" if self.dtype.itemsize == 4 else "H", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
 
     def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units without special strings."""
-        lead = "" if self.drops_white else " "
+        """Ids of units without special strings, for vocabularies that drop white space."""
         if len(self.parts) > self.size:
             self.parts = {}
         out, odd, parts = {}, [], self.parts
@@ -197,52 +157,22 @@ class IdTable:
             if _UNUSUAL.search(unit):
                 odd.append(unit)
                 continue
-            cut = self.pattern.findall(unit.lower() if self.drops_white else lead + unit)
+            cut = _WORD_LEVEL.findall(unit.lower())
             ids = list(map(parts.get, cut))
             if None in ids:
                 for k, x in enumerate(ids):
                     if x is None:
                         ids[k] = parts[cut[k]] = self._part(cut[k])
             out[unit] = b"".join(ids)
-        return out | dict(zip(odd, self._library([lead + u for u in odd])))
+        return out | dict(zip(odd, self._library(odd)))
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Packed ids of each text, followed by ``end``."""
-        if self.ranked is not None:
-            whole = [any(s in t for s in self.specials) for t in texts]
-            by_library = iter(self._library([t for t, w in zip(texts, whole) if w]))
-            by_table = iter(self._columnar([t for t, w in zip(texts, whole) if not w]))
-            return [next(by_library if w else by_table) + end for w in whole]
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            rows: list[list[str] | None] = []
-            for t in part:
-                if any(s in t for s in self.specials) or (_SEPARATORS.search(t) is not None if self.drops_white else _blank_inside_white_space(t)):
-                    rows.append(None)
-                else:
-                    if self.drops_white and not ("Σ" in t or "İ" in t):
-                        t = t.lower()  # as the library would; these two depend on more than the character
-                    rows.append(t.split() if self.drops_white else t.split(" "))
-            # a byte-level text's first unit has no blank before it
-            heads = [b""] * len(part) if self.drops_white else iter(self._library([row[0] for row in rows if row is not None]))
-            if not self.drops_white:
-                heads = [b"" if row is None else next(heads) for row in rows]
-                for row in rows:
-                    if row is not None:
-                        del row[0]
-            get = self.known.get
-            found = [row and list(map(get, row)) for row in rows]
-            if fresh := {u for row, ids in zip(rows, found) if ids and None in ids for u, x in zip(row, ids) if x is None}:
-                if len(self.known) + len(fresh) > self.size:
-                    self.known = {}
-                    fresh = {u for row in rows if row for u in row}
-                self.known |= self._units(list(fresh))
-                get = self.known.get
-                found = [ids if not ids or None not in ids else list(map(get, row)) for row, ids in zip(rows, found)]
-            whole = iter(self._library([t for t, row in zip(part, rows) if row is None]))
-            out += [next(whole) + end if row is None else head + b"".join(ids) + end for row, head, ids in zip(rows, heads, found)]
-        return out
+        by_units = self._word_texts if self.drops_white else self._ranked_texts if self.ranked is not None else None
+        whole = [by_units is None or any(s in t for s in self.specials) or (self.drops_white and _SEPARATORS.search(t) is not None) for t in texts]
+        by_library = iter(self._library([t for t, w in zip(texts, whole) if w]))
+        by_table = iter(by_units([t for t, w in zip(texts, whole) if not w]) if by_units else [])
+        return [next(by_library if w else by_table) + end for w in whole]
 
 
 def id_table(path: str, dtype: str = "<u4", size: int = 500_000) -> IdTable:
@@ -250,5 +180,5 @@ def id_table(path: str, dtype: str = "<u4", size: int = 500_000) -> IdTable:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, dtype) not in _tables:
         _tables[path, dtype] = IdTable(path, dtype)
-    _tables[path, dtype].size = size
+    _tables[path, dtype].size = _tables[path, dtype].columns.size = size
     return _tables[path, dtype]

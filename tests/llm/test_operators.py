@@ -74,7 +74,7 @@ def test_id_table_by_ranks():
     want = [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
     for size, held in ((500_000, 64 << 20), (50, 64 << 20), (500_000, 100)):
         table = token_ids.IdTable(name, size=size)
-        table.held_bytes = held
+        table.columns.held_bytes = held
         got = [x for at in range(0, len(texts), 700) for x in table.encode(texts[at : at + 700])]
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
     assert table.encode([]) == []
