@@ -5,10 +5,13 @@ segmented independently, so each worker keeps a bounded table (unit -> ids, see
 :mod:`unit_columns`) and joins a text's ids from it.
 
 * Vocabularies that drop white space: a unit is what stands between white space.
-  New units are cut into pre-tokens, which the library's model segments; a unit
-  with other characters than those for which the pattern here is known to cut as
-  the library does goes to the library as it is.
-* Byte-level vocabularies whose ids are their merges' ranks: a unit is a blank
+  New units are cut into pre-tokens and segmented all at once with the
+  vocabulary's own ranks: a control character, which units sent this way don't
+  hold, stands behind each pre-token for the vocabulary's end-of-word suffix, and
+  the symbols with the suffix rank before all merges.  A unit with other
+  characters than those for which the pattern here is known to cut as the library
+  does goes to the library as it is.
+* Byte-level vocabularies without the suffix: a unit is a blank
   and what follows it.  New units are segmented all at once, with the
   vocabulary's own ranks, and cut where the tokens' bytes reach a unit's end;
   those of other characters, empty ones and those with white space at an end go
@@ -16,8 +19,8 @@ segmented independently, so each worker keeps a bounded table (unit -> ids, see
   blank stands behind white space and before white space or the end; such texts
   go to the library whole.
 
-Texts that hold a special string, and all of other vocabularies, go to the
-library whole as well.
+Texts that hold a special string, and all texts where the vocabulary's ids aren't
+its merges' ranks, go to the library whole as well.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,26 +43,37 @@ _UNUSUAL = re.compile("[^\t\n\r -~¡-©«-±´-¸»À-įı-ɏ]")
 _APART = "^$|^[\t\n\r]|[\t\n\r]$|" + _UNUSUAL.pattern
 _WORD_LEVEL = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
+_MARK = "\x01"
+_BEHIND_EACH = "\\g<0>" + _MARK
 #: White space before and behind a cut, as flags.
 _BEFORE, _BEHIND = 1, 2
 
 
-def _token_bytes(vocab: dict[str, int]) -> dict[bytes, int]:
-    """A byte-level vocabulary's tokens as bytes."""
-    bytes_of = byte_symbols()
-    return {bytes(bytes_of[c] for c in token): i for token, i in vocab.items() if all(c in bytes_of for c in token)}
+def _token_bytes(model: dict) -> dict[bytes, int]:
+    """A byte-level vocabulary's tokens as bytes, the end-of-word suffix as its mark."""
+    bytes_of, suffix = byte_symbols(), model.get("end_of_word_suffix") or ""
+    found = {}
+    for token, i in model["vocab"].items():
+        word = token.removesuffix(suffix)
+        if all(c in bytes_of for c in word):
+            found[bytes(bytes_of[c] for c in word) + (_MARK.encode() if word != token else b"")] = i
+    return found
 
 
-def _ranked(model: dict):
-    """An encoder by the ranks of a byte-level vocabulary, where the k-th merge makes the id 256 + k; else None."""
-    import public_tokenizers
+def _ranked(model: dict, pattern: str):
+    """An encoder by the ranks of a byte-level vocabulary, where ids are those of single symbols and then of the merges in order; else None."""
     import tiktoken
 
     made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-    if any(model["vocab"].get(token) != 256 + k for k, token in enumerate(made)):
+    singles = 512 if model.get("end_of_word_suffix") else 256
+    if any(model["vocab"].get(token) != singles + k for k, token in enumerate(made)):
         return None
-    ranks = {token: i for token, i in _token_bytes(model["vocab"]).items() if i < 256 + len(made)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {token: i for token, i in _token_bytes(model).items() if i < singles + len(made)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _joined(units: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), " ")[0].as_py()
 
 
 class IdTable:
@@ -74,17 +87,16 @@ class IdTable:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.drops_white = spec["normalizer"] is not None and "\\s" in json.dumps(spec["pre_tokenizer"])
         self.dtype, self.size = np.dtype(dtype), size
-        self.parts: dict[str, bytes] = {}  # pre-tokens
-        self.symbols = {b: c for c, b in byte_symbols().items()}  # for str.translate
-        self.ranked = None if self.drops_white else _ranked(spec["model"])
-        if self.ranked is not None:
-            self.n_bytes = np.zeros(len(spec["model"]["vocab"]) + 1, np.int64)
-            for token, rank in _token_bytes(spec["model"]["vocab"]).items():
-                self.n_bytes[rank] = len(token)
-        self.columns = UnitColumns(self.dtype, size, self._learn_units if self.drops_white else self._learn_ranked)
+        import public_tokenizers
+
+        self.ranked = _ranked(spec["model"], f"[^{_MARK} ]+{_MARK}| " if self.drops_white else public_tokenizers.PATTERN)
+        tokens = _token_bytes(spec["model"])
+        self.blank = tokens.get(b" ")
+        self.n_bytes = np.zeros(len(spec["model"]["vocab"]) + 1, np.int64)
+        self.n_bytes[list(tokens.values())] = [len(t) for t in tokens]
+        self.columns = UnitColumns(self.dtype, size, self._learn_words if self.drops_white else self._learn_ranked)
 
     def clear(self) -> None:
-        self.parts = {}
         self.columns.forget()
 
     def _learn_ranked(self, fresh: pa.Array) -> None:
@@ -96,16 +108,22 @@ class IdTable:
             white = [(not u or u[0].isspace()) * _BEHIND + (not u or u[-1].isspace()) * _BEFORE for u in texts]
             self.columns.add_packed(odd, self._library([" " + u for u in texts]), np.asarray(white, np.int8))
         if len(plain):
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
-            ids = np.asarray(self.ranked.encode_ordinary(" " + joined), np.int64)
+            ids = np.asarray(self.ranked.encode_ordinary(" " + _joined(plain)), np.int64)
             ends = np.cumsum(pc.binary_length(plain).to_numpy() + 1)
             upto = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
             self.columns.add(plain, ids, np.diff(upto, prepend=0))
 
-    def _learn_units(self, fresh: pa.Array) -> None:
-        units = fresh.to_pylist()
-        ids = self._units(units)
-        self.columns.add_packed(fresh, [ids[u] for u in units])
+    def _learn_words(self, fresh: pa.Array) -> None:
+        """Units between white space."""
+        apart = pc.match_substring_regex(fresh, _APART)
+        odd, plain = fresh.filter(apart), fresh.filter(pc.invert(apart))
+        if len(odd):
+            self.columns.add_packed(odd, self._library(odd.to_pylist()))
+        if len(plain):
+            ids = np.asarray(self.ranked.encode_ordinary(_WORD_LEVEL.sub(_BEHIND_EACH, _joined(plain).lower() + " ")), np.int64)
+            between = ids == self.blank
+            upto = np.flatnonzero(between)
+            self.columns.add(plain, ids[~between], np.diff(upto - np.arange(len(upto)), prepend=0))
 
     def _ranked_texts(self, texts: list[str]) -> list[bytes]:
         """Packed ids of texts without special strings, by ranks."""
@@ -144,31 +162,9 @@ class IdTable:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        symbols = part.encode().decode("latin-1").translate(self.symbols)
-        return array("I" if self.dtype.itemsize == 4 else "H", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
-
-    def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units without special strings, for vocabularies that drop white space."""
-        if len(self.parts) > self.size:
-            self.parts = {}
-        out, odd, parts = {}, [], self.parts
-        for unit in units:
-            if _UNUSUAL.search(unit):
-                odd.append(unit)
-                continue
-            cut = _WORD_LEVEL.findall(unit.lower())
-            ids = list(map(parts.get, cut))
-            if None in ids:
-                for k, x in enumerate(ids):
-                    if x is None:
-                        ids[k] = parts[cut[k]] = self._part(cut[k])
-            out[unit] = b"".join(ids)
-        return out | dict(zip(odd, self._library(odd)))
-
     def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Packed ids of each text, followed by ``end``."""
-        by_units = self._word_texts if self.drops_white else self._ranked_texts if self.ranked is not None else None
+        by_units = None if self.ranked is None else self._word_texts if self.drops_white else self._ranked_texts
         whole = [by_units is None or any(s in t for s in self.specials) or (self.drops_white and _SEPARATORS.search(t) is not None) for t in texts]
         by_library = iter(self._library([t for t, w in zip(texts, whole) if w]))
         by_table = iter(by_units([t for t, w in zip(texts, whole) if not w]) if by_units else [])

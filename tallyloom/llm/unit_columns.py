@@ -51,15 +51,20 @@ class UnitColumns:
         found = pc.index_in(units, value_set=self.units)
         if not found.null_count:
             return found.to_numpy()
-        fresh = units.filter(found.is_null())
+        missing = found.is_null()
+        fresh = units.filter(missing)
+        out = found.fill_null(0).to_numpy().astype(np.int64)
         if len(self.units) + len(fresh) > self.size or self.units.nbytes > self.held_bytes:
             rows = found.drop_null()
             kept, rows = self.units.take(rows), rows.to_numpy()
             flat, n_ids, flags = gather(self.flat, self.begin[rows], self.n_ids[rows]), self.n_ids[rows], self.flags[rows]
             self.forget()
             self.add(kept, flat, n_ids, flags)
+            out[found.is_valid().to_numpy(zero_copy_only=False)] = np.arange(len(kept))
+        held = len(self.units)
         self.learn(fresh)
-        return pc.index_in(units, value_set=self.units).to_numpy()
+        out[missing.to_numpy(zero_copy_only=False)] = held + pc.index_in(fresh, value_set=self.units.slice(held)).to_numpy()
+        return out
 
     def items(self, units: pa.Array) -> np.ndarray:
         """The row of every unit of a column with repeats."""

@@ -62,12 +62,13 @@ def test_id_table(name):
         assert got == [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_id_table_by_ranks():
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_id_table_by_ranks(name):
     """Every token of the vocabulary as a text and as a unit, white space of all kinds beside cuts, tables of all sizes."""
-    name = tokenizer_path("byte_bpe_50k.json")
+    name = tokenizer_path(name)
     table = token_ids.IdTable(name)
     assert table.ranked is not None
-    texts = [table.library.decode([i]) for i in range(table.library.get_vocab_size())]
+    texts = [token.removesuffix("</w>") for token in table.library.get_vocab()] + [table.library.decode([i]) for i in range(table.library.get_vocab_size())]
     texts.append(" ".join(texts))
     white = ["", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000"]
     texts += ["".join(RNG.choice(white) + RNG.choice(["a", "'s", "é", "1", "!", "Ω", ""]) + RNG.choice(["", " "]) for _ in range(12)) for _ in range(4000)]
