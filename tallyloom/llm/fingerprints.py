@@ -1,16 +1,23 @@
 """Threshold-scaled document sketches.
 
 A text's shingles are its runs of ``width`` code points (a shorter text is one
-shingle).  Each shingle gets a 64-bit hash, and every hash below a fixed
-fraction 1/``scale`` of the range is kept; a sketch is the sorted set of kept
-hashes (their upper 32 bits).  Because the bound doesn't depend on the text, the
-sketch of a union is the union of sketches, and the share of one sketch that
-lies in another estimates containment however unequal the two texts are.
-
-The string form is ``c<width>/<scale>:`` and eight hex digits a kept hash.
-Equal texts have equal sketches.  The likeness of two sketches is the share of
-their union that is in both; it is 1 for equal strings, also where nothing was
-kept, and 0 where only one kept nothing or none of it meets.
+shingle).  Each shingle gets a hash (the upper 32 bits of a 64-bit one), and every
+hash below a fixed fraction 1/``scale`` of the range is kept, and the ``floor``
+smallest ones in any case: a text of fewer than ``floor`` hashes keeps them all,
+and only the empty text keeps none.  A sketch is the sorted set of kept hashes.
+The bound doesn't depend on the text and the smallest hashes of a union are among
+the smallest ones of its parts, so the sketch of a union is the union of sketches,
+cut by the same rule.
+
+Each sketch tells up to where it holds every hash (its reach), and two sketches
+are compared below the smaller reach of the two.  The likeness is the share of
+their union there that is in both: exact for two texts of fewer than ``floor``
+hashes, else an estimate from ``floor`` hashes of the union at least; 1 for equal
+strings, 0 where only one is empty or nothing meets.  Containment is the share of
+one sketch there that lies in the other, however unequal the two texts are.
+
+The string form is ``c<width>/<scale>+<floor>:`` and eight hex digits a kept hash.
+Equal texts have equal sketches.
 
 The next document is found without a global sort in one task: rows are dealt to
 ranges of ids (bounds from an approximate quantile of the id column alone), and
@@ -54,8 +61,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(text: str, width: int = 12, scale: int = 16) -> np.ndarray:
-    """Sorted kept hashes (upper 32 bits) of one text."""
+def _cut(values: np.ndarray, scale: int, floor: int) -> np.ndarray:
+    """The hashes of a set that its sketch keeps, sorted."""
+    kept = np.unique(values[values < (1 << 32) // scale])
+    return kept if len(kept) >= floor else np.unique(values)[:floor]
+
+
+def _reach(kept: np.ndarray, scale: int, floor: int) -> int:
+    """The bound below which a sketch holds every hash of its text."""
+    return max((1 << 32) // scale, int(kept[-1]) + 1) if len(kept) >= floor else 1 << 32
+
+
+def _below(a: np.ndarray, b: np.ndarray, scale: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of two sketches that can be compared."""
+    bound = min(_reach(a, scale, floor), _reach(b, scale, floor))
+    return a[: np.searchsorted(a, bound)], b[: np.searchsorted(b, bound)]
+
+
+def sketch(text: str, width: int = 12, scale: int = 16, floor: int = 256) -> np.ndarray:
+    """Sorted kept hashes of one text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = len(points)
     if not n:
@@ -65,41 +89,43 @@ def sketch(text: str, width: int = 12, scale: int = 16) -> np.ndarray:
     np.cumsum(mixed(points + np.uint64(1)) * power, out=sums[1:])
     size = min(width, n)
     hashes = mixed((sums[size:] - sums[:-size]) * inverse[: n - size + 1] + np.uint64(size))
-    kept = hashes[hashes < np.uint64((1 << 64) // scale)]
-    return np.unique((kept >> np.uint64(32)).astype(np.uint32))
+    return _cut(hashes >> np.uint64(32), scale, floor).astype(np.uint32)
 
 
-def to_string(kept: np.ndarray, width: int = 12, scale: int = 16) -> str:
-    return f"c{width}/{scale}:{kept.astype('>u4').tobytes().hex()}"
+def to_string(kept: np.ndarray, width: int = 12, scale: int = 16, floor: int = 256) -> str:
+    return f"c{width}/{scale}+{floor}:{kept.astype('>u4').tobytes().hex()}"
 
 
 def from_string(sketch_string: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(sketch_string.partition(":")[2]), ">u4").astype(np.uint32)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, scale: int = 16, floor: int = 256) -> np.ndarray:
     """The sketch of both texts' shingles together."""
-    return np.union1d(a, b)
+    return _cut(np.union1d(a, b), scale, floor)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of a that b has (0 where a kept none)."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = 16, floor: int = 256) -> float:
+    """Estimated share of the shingles of a that b has (0 where a has none to compare)."""
+    a, b = _below(a, b, scale, floor)
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = 16, floor: int = 256) -> float:
+    """Estimated share of the shingles of both texts that are in each; only two empty texts are alike without one."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    a, b = _below(a, b, scale, floor)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 12, scale: int = 16) -> DataFrame:
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 12, scale: int = 16, floor: int = 256) -> DataFrame:
     """(id, fingerprint string) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [to_string(sketch(x or "", width, scale), width, scale) for x in batch.column(1).to_pylist()]
+            prints = [to_string(sketch(x or "", width, scale, floor), width, scale, floor) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=["id", "fingerprint"])
 
     source = narrowed(df, id=id_col, text=text_col)
@@ -134,7 +160,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     return dealt.repartitionById(last + 1, "range").sortWithinPartitions("range", "copied", F.asc_nulls_first("id"), "text")
 
 
-def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 12, scale: int = 16, edit: int = 4) -> DataFrame:
+def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 12, scale: int = 16, edit: int = 4, floor: int = 256) -> DataFrame:
     """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next); edited: the last 1/``edit`` of the text replaced by the next text's opening."""
     names = ["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -148,13 +174,13 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     text = text or ""
                     if waits is None and copied:
                         continue  # further rows that share the next id
-                    kept = sketch(text, width, scale)
+                    kept = sketch(text, width, scale, floor)
                     if waits is not None:
                         _, doc, said, own = waits
                         tail = len(said) // edit
                         edited = said[: len(said) - tail] + text[:tail]
-                        changed = sketch(edited, width, scale)
-                        out.append((doc, len(said), edited, to_string(own, width, scale), to_string(changed, width, scale), likeness(own, changed), likeness(own, kept)))
+                        changed = sketch(edited, width, scale, floor)
+                        out.append((doc, len(said), edited, to_string(own, width, scale, floor), to_string(changed, width, scale, floor), likeness(own, changed, scale, floor), likeness(own, kept, scale, floor)))
                     waits = None if copied else (part, i, text, kept)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
