@@ -20,8 +20,8 @@ The string form is ``c<width>/<scale>+<floor>:`` and eight hex digits a kept has
 Equal texts have equal sketches.
 
 The next document is found without a global sort in one task: rows are dealt to
-ranges of ids (bounds from an approximate quantile of the id column alone), and
-the document that opens a range is copied to the range before, the first of all
+ranges of ids (by an approximate quantile of the id column alone; a range begins
+at the least id in it, which is taken exactly), and the document that opens a range is copied to the range before, the first of all
 to the last.
 
 Defined results: null text is the empty text; rows that repeat an id follow in
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrowed, tidy
@@ -140,21 +140,29 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     ids = source.select("id")
     bounds = ids.where("id is not null").approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     edge = ids.agg(F.min("id").alias("least"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).first()
-    # ids are compared as longs; a quantile is an id that occurs, exact as a double below 2^53
-    cuts = np.unique(np.asarray([int(b) for b in bounds or [] if edge["least"] is None or edge["nulls"] or int(b) > edge["least"]], np.int64))
-    last = len(cuts)
+    most = np.iinfo(np.int64).max
+
+    def ranges_from(cuts: np.ndarray) -> Column:
+        """The range of an id; a row without id is in the first.  The function never sees null: pandas would turn the ids into doubles."""
+
+        @F.pandas_udf("int")
+        def found(i: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, i.to_numpy(dtype=np.int64), side="right").astype(np.int32))
 
-    @F.pandas_udf("int")
-    def range_of(i: pd.Series) -> pd.Series:
-        found = np.searchsorted(cuts, i.fillna(0).to_numpy(dtype=np.int64), side="right")
-        return pd.Series(np.where(i.isna().to_numpy(), 0, found).astype(np.int32))
+        return F.when(F.col("id").isNull(), 0).otherwise(found(F.coalesce("id", F.lit(0).cast("long"))))
+
+    # a quantile is a double, which beyond 2^53 needn't be an id: it only deals, and the ids that open ranges are looked up
+    rough = np.unique(np.asarray([min(int(b), most) for b in bounds or []], np.int64))
+    opening = ids.where("id is not null").groupBy(ranges_from(rough).alias("range")).agg(F.min("id").alias("least")) if len(rough) else None
+    cuts = np.asarray(sorted(x["least"] for x in opening.collect())[1:] if opening is not None else [], np.int64)
+    last = len(cuts)
 
     @F.pandas_udf("boolean")
     def opens(i: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(i.fillna(0).to_numpy(dtype=np.int64), cuts) & i.notna().to_numpy())
+        return pd.Series(np.isin(i.to_numpy(dtype=np.int64), cuts))
 
     first = F.col("id").isNull() if edge["nulls"] else F.col("id") == F.lit(edge["least"])
-    dealt = source.withColumn("range", range_of("id")).withColumn("opens", opens("id"))
+    dealt = source.withColumn("range", ranges_from(cuts)).withColumn("opens", F.col("id").isNotNull() & opens(F.coalesce("id", F.lit(0).cast("long"))))
     copies = F.array(F.struct(F.col("range"), F.lit(0).alias("copied")), F.when(F.col("opens"), F.struct((F.col("range") - 1).alias("range"), F.lit(1).alias("copied"))), F.when(first, F.struct(F.lit(last).alias("range"), F.lit(2).alias("copied"))))
     dealt = dealt.select(F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("to"), "id", "text").select("to.range", "to.copied", "id", "text")
     return dealt.repartitionById(last + 1, "range").sortWithinPartitions("range", "copied", F.asc_nulls_first("id"), "text")

@@ -42,3 +42,16 @@ def test_fingerprints_merge_by_the_same_rule():
             merged = fingerprints.merge(fingerprints.sketch(text[: max(cut, 0) + 11][:n]), fingerprints.sketch(text[cut:n]))
             if n - cut >= 12:
                 assert (merged == whole).all()
+
+
+def test_next_of_large_ids(spark):
+    """Ids beyond 2^53 aren't doubles: every row still comes out once, with the next row's text."""
+    rng = random.Random(5)
+    ids = sorted([rng.randrange(-(1 << 63), 1 << 63) for _ in range(60)] + [(1 << 62) + k for k in range(60)] + [(1 << 63) - 1])
+    rows = [(None, "none")] + [(i, f"text {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+    for ranges in (5, 40):
+        dealt = fingerprints.with_next(df, ranges=ranges)
+        assert dealt.where("copied = 0").count() == len(rows) and dealt.select("range").distinct().count() > 1
+    got = {r["id"]: r["edited"] for r in fingerprints.compare_with_next(df).collect()}
+    assert got == {i: t[: len(t) - len(t) // 4] + u[: len(t) // 4] for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1])}
