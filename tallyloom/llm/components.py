@@ -66,6 +66,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     return now.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def smallest_ids(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, part long) of every class (key, node, rep): the smallest id in its component, a hash where no class of the component has one; null for an unlinked class without id."""
+    placed = classes.select("node", "key", "rep").join(parts, "node", "left")
+    names = placed.where("component is not null").groupBy("component").agg(F.coalesce(F.min("rep"), F.min(F.xxhash64("key"))).alias("name"))
+    # an unlinked class meets no name, under a node of its own and not under null, which would be one task's
+    return placed.withColumn("component", F.coalesce("component", "node")).join(names, "component", "left").select("key", F.coalesce("name", "rep").alias("part"))
+
+
 def sorted_groups(df: DataFrame, keys: list[str], each: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, partitions: int | None = None) -> DataFrame:
     """Rows of equal (integer) keys together, as one Arrow table at a time in a task that streams its groups.
 

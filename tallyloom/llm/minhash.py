@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, narrowed, slices, tidy, utf8_of
-from .components import connected_components, sorted_groups, union_find
+from .components import connected_components, smallest_ids, sorted_groups, union_find
 from .shingles import shingle_sets, similar
 
 
@@ -70,11 +70,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
     signed = materialize(source.mapInArrow(tidy(sign), "id long, n long, key binary, signature binary"), "minhash-signatures")
     classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    classes = materialize(classes.withColumn("rep", F.coalesce("rep", F.xxhash64("key"))), "minhash-classes")
+    # a class is known by a number of its own: ids may repeat over classes or be null
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
     width = 4 * depth
     order = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.substring("signature", 1 + t * width, width).alias("order")) for t in range(orders)])).alias("o")
-    forest = classes.select("rep", order).select("o.t", "o.order", "rep")
+    forest = classes.select("node", order).select("o.t", "o.order", "node")
     prefix = 4 * least
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +83,14 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         first = last = None
         here = TaskContext.get().partitionId()
         for batch in batches:
-            ts, keys, reps = (c.to_pylist() for c in batch.columns)
+            ts, keys, nodes = (c.to_pylist() for c in batch.columns)
             out = []
-            for t, key, rep in zip(ts, keys, reps):
+            for t, key, node in zip(ts, keys, nodes):
                 if last is None:
-                    first = (t, key, rep)
-                elif last[0] == t and last[1][:prefix] == key[:prefix] and last[2] != rep:
-                    out.append((0, here, min(last[2], rep), max(last[2], rep), None, None))
-                last = (t, key, rep)
+                    first = (t, key, node)
+                elif last[0] == t and last[1][:prefix] == key[:prefix] and last[2] != node:
+                    out.append((0, here, min(last[2], node), max(last[2], node), None, None))
+                last = (t, key, node)
             if out:
                 yield _rows(out)
         if last is not None:
@@ -99,7 +100,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "task", "a", "b", "t", "order"])
 
-    ranged = forest.repartitionByRange("t", "order", "rep").sortWithinPartitions("t", "order", "rep")
+    ranged = forest.repartitionByRange("t", "order", "node").sortWithinPartitions("t", "order", "node")
     found = materialize(ranged.mapInArrow(tidy(neighbours), "kind int, task long, a long, b long, t int, order binary"), "minhash-neighbours")
     # neighbours over a task's edge: two rows a task, in the order of tasks
     edges = sorted(found.where("kind > 0").select("task", "kind", "t", "order", "a").collect())
@@ -107,20 +108,21 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     pairs = found.where("kind = 0").select("a", "b").unionByName(df.sparkSession.createDataFrame(across, "a long, b long")).distinct()
 
     # regions of an order with more than one class
-    regions = forest.select("t", F.xxhash64(F.substring("order", 1, prefix)).alias("region"), "rep")
+    regions = forest.select("t", F.xxhash64(F.substring("order", 1, prefix)).alias("region"), "node")
     pairs = materialize(pairs, "minhash-pairs")
     discard(found)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "key"), "rep")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key", "rep"), "node")
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, 1 << 18):
                 sets = shingle_sets(*utf8_of(batch.column(1)), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "key", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
 
-    texts = source.withColumnRenamed("id", "rep").join(wanted.select("rep"), "rep", "left_semi")
-    sets = texts.mapInArrow(tidy(read_sets), "rep long, key binary, members binary").join(wanted, ["rep", "key"], "left_semi").dropDuplicates(["rep"])
-    sets = materialize(sets.select("rep", "members"), "minhash-sets")
+    # a class's text is under its smallest id, or among the rows without id; the key tells it from others there
+    texts = source.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").unionByName(source.where("id is null"))
+    sets = texts.mapInArrow(tidy(read_sets), "key binary, members binary").join(wanted.select("node", "key"), "key").dropDuplicates(["key"])
+    sets = materialize(sets.select("node", "members"), "minhash-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,29 +130,29 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     links = materialize(both.select("a", "b", "x", "y").mapInArrow(tidy(confirm), "a long, b long"), "minhash-links")
     parts = materialize(connected_components(links, name="minhash-components"), "minhash-parts")
 
     # regions that still hold several components
-    placed = regions.join(sets.select("rep"), "rep", "left_semi").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-    placed = materialize(placed.select("t", "region", "rep", "part"), "minhash-regions")
+    placed = regions.join(sets.select("node"), "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    placed = materialize(placed.select("t", "region", "node", "part"), "minhash-regions")
     mixed_regions = placed.groupBy("t", "region").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size")).where("least <> most")
     split = placed.join(mixed_regions.select("t", "region", "size"), ["t", "region"])
-    split = split.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    split = split.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = sets.join(classes.select("rep", "signature"), "rep")
-    split = split.select(F.col("t").cast("long").alias("t"), "region", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "own", "rep", "part").join(members, "rep").select("t", "region", "lo", "hi", "own", "rep", "part", "members", "signature")
+    members = sets.join(classes.select("node", "signature"), "node")
+    split = split.select(F.col("t").cast("long").alias("t"), "region", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "own", "node", "part").join(members, "node").select("t", "region", "lo", "hi", "own", "node", "part", "members", "signature")
     share = percent / 100
     agree = math.floor(orders * depth * share - 5.5 * math.sqrt(orders * depth * share * (1 - share)))
 
     def across_parts(group: pa.Table) -> Iterator[pa.RecordBatch]:
         lo, hi = (group.column(i)[0].as_py() for i in (2, 3))
-        own, rep, part = (group.column(i).to_numpy() for i in (4, 5, 6))
+        own, node, part = (group.column(i).to_numpy() for i in (4, 5, 6))
         raw = group.column(7).to_pylist()
         sizes = np.asarray([len(x) // 8 for x in raw])
-        sign_ = np.frombuffer(b"".join(group.column(8).to_pylist()), ">u4").reshape(len(rep), -1).astype(np.uint32)
-        left, right = (np.arange(len(rep)),) * 2 if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
+        sign_ = np.frombuffer(b"".join(group.column(8).to_pylist()), ">u4").reshape(len(node), -1).astype(np.uint32)
+        left, right = (np.arange(len(node)),) * 2 if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
         parent = {int(p): int(p) for p in part}
 
         def root(p: int) -> int:
@@ -172,7 +174,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
                 a, b = root(int(part[i])), root(int(part[k]))
                 if a != b and similar(mine, np.frombuffer(raw[k], np.uint64), percent):
                     parent[max(a, b)] = min(a, b)
-                    out.append((int(rep[i]), int(rep[k])))
+                    out.append((int(node[i]), int(node[k])))
         if out:
             stars = union_find(np.asarray(out, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], names=["a", "b"])
@@ -182,7 +184,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         discard(old)
     stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(stars.unionByName(more), name="minhash-final")
-    known = classes.select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("part"))
+    known = smallest_ids(classes, final).select("key", F.coalesce("part", F.xxhash64("key")).alias("part"))
     known = materialize(known, "minhash-known")
     discard(classes)
     return signed.select("id", "n", "key").join(known, "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("part", "id").alias("component_id"))

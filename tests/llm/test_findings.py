@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tallyloom.llm import fingerprints
+from tallyloom.llm import fingerprints, minhash
 
 
 def shingle_likeness(a, b, width=12):
@@ -55,3 +55,18 @@ def test_next_of_large_ids(spark):
         assert dealt.where("copied = 0").count() == len(rows) and dealt.select("range").distinct().count() > 1
     got = {r["id"]: r["edited"] for r in fingerprints.compare_with_next(df).collect()}
     assert got == {i: t[: len(t) - len(t) // 4] + u[: len(t) // 4] for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1])}
+
+
+def test_near_duplicates_under_repeated_and_null_ids(spark):
+    """Two texts under one id, and texts without id, keep their own links."""
+    rng = random.Random(6)
+    say = lambda: [f"w{rng.randrange(5000)}" for _ in range(80)]
+    text = lambda words: " ".join(words)
+    a, b, c, d = say(), say(), say(), say()
+    near = lambda words: text([*words[:79], "other"])
+    rows = [(7, text(a)), (7, text(b)), (20, near(a)), (30, near(b)), (None, text(c)), (40, near(c)), (None, near(d)), (None, text(d)), (50, text(say()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["id"] or 0, r["component_id"]) for r in minhash.near_duplicates(df, words=4).collect()))
+    nameless = [x for i, x in got if not i and x != 40]
+    assert len(nameless) == 2 and nameless[0] == nameless[1] is not None
+    assert [x for x in got if x[0] or x[1] == 40] == [(0, 40), (7, 7), (7, 7), (20, 7), (30, 7), (40, 40), (50, 50)]
