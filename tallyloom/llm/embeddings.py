@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, narrowed, tidy
-from .components import connected_components, sorted_groups
+from .components import connected_components, smallest_ids, sorted_groups
 
 
 def plan_tables(n: int, threshold: float, target: int = 256, miss: float = 1e-3) -> tuple[int, int]:
@@ -69,8 +69,8 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     source = narrowed(df, id=id_col, vector=vector_col).withColumn("id", F.col("id").cast("long"))
     rows = source.mapInArrow(tidy(_vectors), "id long, key binary, vector binary")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
-    # where all of a class's ids are null it has no name; it can't link by one
-    classes = materialize(classes.withColumn("name", F.coalesce("rep", F.xxhash64("key"))), "vector-classes")
+    # a class is known by a number of its own: ids may repeat over classes or be null
+    classes = materialize(classes.withColumn("name", F.monotonically_increasing_id()), "vector-classes")
     bits, tables = plan_tables(classes.count(), threshold, target, miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +134,8 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     linked = materialize(sorted_groups(met, ["t", "key", "lo", "hi"], compare, "name long, links long, root long"), "vector-links")
     parts = connected_components(linked, "name", "root", "vector-components")
     degree = linked.groupBy("name").agg(F.sum("links").alias("links"))
-    known = classes.select("key", "name", "rep", "n").join(degree, "name", "left").join(parts.withColumnRenamed("node", "name"), "name", "left")
-    known = materialize(known.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("part")), "vector-known")
+    known = classes.select("key", "name", "n").join(degree, "name", "left").join(smallest_ids(classes.withColumnRenamed("name", "node"), parts), "key")
+    known = materialize(known.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "part"), "vector-known")
     discard(signed)
     discard(linked)
     out = rows.select("id", "key").join(known, "key", "left")

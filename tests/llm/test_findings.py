@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tallyloom.llm import fingerprints, minhash
+from tallyloom.llm import embeddings, fingerprints, minhash
 
 
 def shingle_likeness(a, b, width=12):
@@ -70,3 +70,13 @@ def test_near_duplicates_under_repeated_and_null_ids(spark):
     nameless = [x for i, x in got if not i and x != 40]
     assert len(nameless) == 2 and nameless[0] == nameless[1] is not None
     assert [x for x in got if x[0] or x[1] == 40] == [(0, 40), (7, 7), (7, 7), (20, 7), (30, 7), (40, 40), (50, 50)]
+
+
+def test_vectors_under_repeated_and_null_ids(spark):
+    """Two vectors under one id, and vectors without id, have their own links and components."""
+    a, b, c, d = np.eye(8, dtype=np.float32)[:4].tolist()
+    near = lambda v, k: [x or (0.1 if i == k else 0.0) for i, x in enumerate(v)]
+    rows = [(7, a), (7, b), (20, near(a, 5)), (21, near(a, 6)), (30, near(b, 5)), (None, c), (40, near(c, 5)), (None, d), (None, d), (50, np.eye(8)[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["id"] or 0, r["n_links"], r["component_id"] or 0) for r in embeddings.link_vectors(df, miss=1e-6).collect())
+    assert got == [(0, 1, 0), (0, 1, 0), (0, 1, 40), (7, 1, 7), (7, 2, 7), (20, 2, 7), (21, 2, 7), (30, 1, 7), (40, 1, 40), (50, 0, 50)]
