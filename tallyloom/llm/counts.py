@@ -15,13 +15,12 @@ state, which is the other component of the transducer: boundaries depend on at
 most three characters around them, so they come from array comparisons.
 
 *Parallel run.*  Texts are cut into chunks of ``CHUNK`` bytes anywhere, inside
-words as well.  A chunk's state map sends its entry state to (exit state,
-count); behind the chunk's first boundary the map is constant, so it is kept as
-that constant plus the head still to be run.  All chunks of a batch run in
-lock-step through the dense transition table; maps are then composed over the
-row of chunks by prefix scan (a chunk with a boundary fixes its exit state, the
-heads behind it run from there, boundary-less chunks extend their
-predecessor's), and a document's count is the segmented sum.
+words as well.  All chunks of a batch run in lock-step through the dense
+transition table, each from the start state at its first boundary, which fixes
+its exit state.  The heads before first boundaries then run from the exit state
+of the chunk before, again in lock-step; no state maps are composed, so a run of
+k chunks without a boundary takes k rounds one after the other.  A document's
+count is the segmented sum.
 
 The dense table is bounded: beyond ``max_states`` it is flushed and grows anew,
 as lazy automata do.  No shuffle, so no key can be hot; one very long text is
@@ -254,7 +253,7 @@ class CountTransducer:
         marks = np.append(np.flatnonzero(resets), len(data))
         opens = np.minimum(marks[np.searchsorted(marks, starts)], ends)  # first boundary in the chunk, or its end
         exits, counts = self.run(data, resets, opens, ends, np.zeros(len(owner), np.int64))
-        # compose the chunks' maps: heads run from the exit state of the chunk before
+        # heads run from the exit state of the chunk before
         waiting = np.flatnonzero(opens > starts)
         through = opens == ends
         ready = ~(through & (opens > starts))
