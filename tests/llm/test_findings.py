@@ -5,6 +5,9 @@ import random
 import numpy as np
 
 from tallyloom.llm import embeddings, fingerprints, minhash
+from tallyloom.llm.queries import QUERIES
+
+from test_operators import brute_components
 
 
 def shingle_likeness(a, b, width=12):
@@ -80,3 +83,28 @@ def test_vectors_under_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r["id"] or 0, r["n_links"], r["component_id"] or 0) for r in embeddings.link_vectors(df, miss=1e-6).collect())
     assert got == [(0, 1, 0), (0, 1, 0), (0, 1, 40), (7, 1, 7), (7, 2, 7), (20, 2, 7), (21, 2, 7), (30, 1, 7), (40, 1, 40), (50, 0, 50)]
+
+
+def test_registered_queries(spark, tmp_path):
+    """op2, op5 and op8 with their defaults against brute force."""
+    rng, vectors = random.Random(7), np.random.default_rng(7)
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join([*base[i % 6][: 60 - i % 4], *[f"x{rng.randrange(900)}" for _ in range(i % 4)]]) for i in range(48)]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    middle = vectors.standard_normal((8, 32))
+    v = (middle[np.arange(64) % 8] + vectors.standard_normal((64, 32)) * 0.15).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    roots = brute_components(range(48), [(a, b) for a in range(48) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in QUERIES["op8_minhash_near_dedup"](spark, str(tmp_path)).collect()} == {i: (len(sets[i]), roots[i], roots[i] == i) for i in range(48)}
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    roots = brute_components(range(64), np.argwhere(close).tolist())
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op2_embedding_near_dedup"](spark, str(tmp_path)).collect()} == {i: (int(close[i].sum()), roots[i]) for i in range(64)}
+    for r in QUERIES["op5_fingerprints"](spark, str(tmp_path)).collect():
+        own, after = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 48]
+        edited = own[: len(own) - len(own) // 4] + after[: len(own) // 4]
+        assert abs(r["near_next"] - shingle_likeness(own, after)) < 0.16 and abs(r["near_edited"] - shingle_likeness(own, edited)) < 0.16
