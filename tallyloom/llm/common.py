@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +18,17 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` is used as the cluster names it; only
-    where it is unset (tests, local mode) a folder beside the warehouse is set.
+    The session's ``spark.checkpoint.dir`` is used as the cluster names it, else a
+    folder set by ``setCheckpointDir``.  Only in local mode, where every folder is
+    shared, one beside the warehouse is set; a cluster that names none is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -55,24 +60,54 @@ def give_back() -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+_scratch: list[list[DataFrame]] = []  # tables written inside each open :func:`scratch`
+
+
+@contextmanager
+def scratch(keep: Callable[[], list[DataFrame]]) -> Iterator[None]:
+    """Delete the tables that :func:`materialize` wrote inside, but for ``keep()``, once the block ends well."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        made = _scratch.pop()
+    kept = {id(df) for df in keep()}
+    discard(*[df for df in made if id(df) not in kept])
+
+
+def few_files(df: DataFrame, rows: int, rows_a_file: int = 250_000) -> DataFrame:
+    """``df`` of about ``rows`` rows in as many partitions as they need, two a core at least: not one small file for each shuffle partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(2 * cores, -(-rows // rows_a_file)))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyloom/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "snappy")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyloom_path = path
+    for made in _scratch:
+        made.append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
-    path = getattr(df, "_tallyloom_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing reads them any more."""
+    for df in frames:
+        if path := getattr(df, "_tallyloom_path", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def local_rows(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
+    """A few rows of the driver's as a DataFrame, through Arrow: no Python worker starts for them."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, (kind, values) in columns.items()}))
 
 
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
@@ -123,6 +158,15 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def words_of(column: pa.Array | pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds of the rows) of a binary column without nulls that holds packed words, without copying rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    data, offsets = utf8_of(column)
+    size = np.dtype(dtype).itemsize
+    return data.view(dtype) if len(data) else np.zeros(0, dtype), offsets // size
+
+
 def int_lists(blobs: list[bytes], dtype=np.int32) -> pa.ListArray:
     """An Arrow list<int> column from packed little-endian rows, without Python ints."""
     width = np.dtype(dtype).itemsize

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, tidy
+from .common import discard, few_files, materialize, tidy
+
+ROUND_EDGES = 500_000  # edges a file between rounds
 
 
 def union_find(pairs: np.ndarray) -> np.ndarray:
@@ -39,9 +41,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components", rows: int = 0) -> DataFrame:
     """(node long, component long: smallest node reachable) of all nodes with an edge to another node.
 
+    ``rows``: about as many edges there are, if they are many.
+
     Alternating large-star and small-star rounds over a table in the shared
     folder: each is a minimum per node (combined before the shuffle) and a join
     back, so a hub of any degree is split by the engine's skew join.  Rounds go
@@ -49,21 +53,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialize(pairs.mapInArrow(tidy(_contract), "a long, b long").distinct(), name)
+    now = materialize(few_files(pairs.mapInArrow(tidy(_contract), "a long, b long").distinct(), rows), name)
+    size = now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_min = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_min, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        after = materialize(small, name)
+        after = materialize(small.coalesce(-(-size // ROUND_EDGES) or 1), name)
         discard(now)
         now = after
         nodes = now.groupBy("a").agg(F.count("*").alias("n"))
         if nodes.where("n > 1").isEmpty() and now.join(nodes.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
     roots = now.select(F.col("b").alias("a")).distinct().select("a", F.col("a").alias("b"))
-    return now.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = now.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out._tallyloom_path = now._tallyloom_path  # for discard
+    return out
 
 
 def smallest_ids(classes: DataFrame, parts: DataFrame) -> DataFrame:

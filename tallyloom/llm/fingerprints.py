@@ -45,13 +45,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: list[np.ndarray] = []
 
 
+KEPT_POWERS = 1 << 19
+
+
 def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse)]
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of an odd base modulo 2^64 and of its inverse; a worker keeps ``KEPT_POWERS`` of them, longer ones are a call's own."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size = max(n, min(KEPT_POWERS, 1 << max(16, (n - 1).bit_length())))
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse)]
+    if size <= KEPT_POWERS:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

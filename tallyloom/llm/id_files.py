@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, narrowed, shared_dir, slices, texts_of, tidy, tokenizer_path
+from .common import local_rows, materialize, narrowed, shared_dir, slices, texts_of, tidy, tokenizer_path
 from .range_coder import decode_block, encode_block
 from .token_ids import id_table
 
@@ -127,7 +127,7 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     for file in sorted(totals):
         rows.append((file, at))
         at += totals[file]
-    offsets = spark.createDataFrame(rows, "file int, file_start long")
+    offsets = local_rows(spark, {"file": (pa.int32(), [f for f, _ in rows]), "file_start": (pa.int64(), [x for _, x in rows])})
     names = ["file", "doc_rank", "id", "start", "offset", "n", "ids", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,6 +142,8 @@ def identify_languages(df: DataFrame, model: np.ndarray, languages: tuple[str, .
         give_back()
         return pd.DataFrame({"scores": list(sums), "n": n})
 
+    score = score.asNondeterministic()  # else a later filter on the result would be pushed below and score every text twice
+
     found = ("language", "confidence", "text_language", "n_trigrams", "rejected")
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),

@@ -12,7 +12,8 @@ Depth adapts to the region (the classes that share ``least`` values in an
 order): where the deepest neighbours already make a region one component,
 nothing shallower can add to it and it is done; where a region still holds
 several components, every pair across them is a candidate at the shallow depth,
-in blocks of ``block`` classes.  So no pair that an order brings together at
+in blocks of at most about ``block`` classes and ``block_bytes`` of their sets,
+so a task's memory follows neither the region nor the texts.  So no pair that an order brings together at
 ``least`` values is lost, and dense regions don't cost their square.
 
 Before an exact comparison across components two bounds leave out pairs: sizes
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, narrowed, slices, tidy, utf8_of
+from .common import discard, few_files, local_rows, materialize, narrowed, numbered, slices, tidy, utf8_of, words_of
 from .components import connected_components, smallest_ids, sorted_groups, union_find
 from .shingles import shingle_sets, similar
 
@@ -57,25 +58,28 @@ def set_key(values: np.ndarray) -> bytes | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", orders: int = 16, depth: int = 6, least: int = 4, block: int = 512, seed: int = 11) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", orders: int = 16, depth: int = 6, least: int = 4, block: int = 256, block_bytes: int = 4 << 20, seed: int = 11) -> DataFrame:
     """(id, n_shingles long, component_id long) of every row; a component's id is its smallest."""
-    source = narrowed(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    # a row is known by a number of its own: ids may repeat or be null
+    rows_of = numbered(narrowed(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")), "id", "text", "node")
+    source = rows_of.select("node", "id", "text")
     factors = np.random.default_rng(seed).integers(1, 1 << 63, orders * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 1 << 18):
-                sets = shingle_sets(*utf8_of(batch.column(1)), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([signature(s, factors) if len(s) else None for s in sets], pa.binary())], names=["id", "n", "key", "signature"])
+            for batch in slices(whole, 2, 1 << 18):
+                sets = shingle_sets(*utf8_of(batch.column(2)), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([signature(s, factors) if len(s) else None for s in sets], pa.binary())], names=["node", "id", "n", "key", "signature"])
 
-    signed = materialize(source.mapInArrow(tidy(sign), "id long, n long, key binary, signature binary"), "minhash-signatures")
-    classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    # a class is known by a number of its own: ids may repeat over classes or be null
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    rows = source.count()
+    signed = materialize(few_files(source.mapInArrow(tidy(sign), "node long, id long, n long, key binary, signature binary"), rows), "minhash-signatures")
+    # a class is known by its first row's number
+    classes = signed.where("key is not null").groupBy("key").agg(F.min("node").alias("node"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = materialize(few_files(classes, rows), "minhash-classes")
 
     width = 4 * depth
     order = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.substring("signature", 1 + t * width, width).alias("order")) for t in range(orders)])).alias("o")
-    forest = classes.select("node", order).select("o.t", "o.order", "node")
+    forest = classes.select("node", "n", order).select("o.t", "o.order", "node", "n")
     prefix = 4 * least
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,16 +87,21 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         first = last = None
         here = TaskContext.get().partitionId()
         for batch in batches:
-            ts, keys, nodes = (c.to_pylist() for c in batch.columns)
-            out = []
-            for t, key, node in zip(ts, keys, nodes):
-                if last is None:
-                    first = (t, key, node)
-                elif last[0] == t and last[1][:prefix] == key[:prefix] and last[2] != node:
-                    out.append((0, here, min(last[2], node), max(last[2], node), None, None))
-                last = (t, key, node)
-            if out:
-                yield _rows(out)
+            if not batch.num_rows:
+                continue
+            ts, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            order, _ = words_of(batch.column(1), np.uint32)
+            head = order.reshape(len(ts), depth)[:, :least]
+            rows = [(int(ts[k]), batch.column(1)[k].as_py(), int(node[k])) for k in (0, -1)]
+            same = (ts[1:] == ts[:-1]) & (head[1:] == head[:-1]).all(axis=1) & (node[1:] != node[:-1])
+            x, y = node[:-1][same], node[1:][same]
+            if last is None:
+                first = rows[0]
+            elif last[0] == rows[0][0] and last[1][:prefix] == rows[0][1][:prefix] and last[2] != rows[0][2]:
+                x, y = np.append(x, last[2]), np.append(y, rows[0][2])
+            last = rows[1]
+            if len(x):
+                yield _rows([(0, here, min(p, q), max(p, q), None, None) for p, q in zip(x.tolist(), y.tolist())])
         if last is not None:
             yield _rows([(1, here, x, x, t, k) for (t, k, x) in (first,)] + [(2, here, x, x, t, k) for (t, k, x) in (last,)])
 
@@ -100,46 +109,45 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "task", "a", "b", "t", "order"])
 
-    ranged = forest.repartitionByRange("t", "order", "node").sortWithinPartitions("t", "order", "node")
-    found = materialize(ranged.mapInArrow(tidy(neighbours), "kind int, task long, a long, b long, t int, order binary"), "minhash-neighbours")
+    ranged = forest.drop("n").repartitionByRange("t", "order", "node").sortWithinPartitions("t", "order", "node")
+    found = materialize(few_files(ranged.mapInArrow(tidy(neighbours), "kind int, task long, a long, b long, t int, order binary"), rows), "minhash-neighbours")
     # neighbours over a task's edge: two rows a task, in the order of tasks
     edges = sorted(found.where("kind > 0").select("task", "kind", "t", "order", "a").collect())
     across = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(edges, edges[1:]) if x.task != y.task and x.t == y.t and bytes(x.order)[:prefix] == bytes(y.order)[:prefix] and x.a != y.a]
-    pairs = found.where("kind = 0").select("a", "b").unionByName(df.sparkSession.createDataFrame(across, "a long, b long")).distinct()
+    pairs = found.where("kind = 0").select("a", "b").unionByName(local_rows(df.sparkSession, {"a": (pa.int64(), [x for x, _ in across]), "b": (pa.int64(), [y for _, y in across])}))
+    pairs = materialize(few_files(pairs.distinct(), rows), "minhash-pairs")
+    discard(found)
 
     # regions of an order with more than one class
-    regions = forest.select("t", F.xxhash64(F.substring("order", 1, prefix)).alias("region"), "node")
-    pairs = materialize(pairs, "minhash-pairs")
-    discard(found)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key", "rep"), "node")
+    regions = forest.select("t", F.xxhash64(F.substring("order", 1, prefix)).alias("region"), "node", "n")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1, 1 << 18):
                 sets = shingle_sets(*utf8_of(batch.column(1)), words)
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
 
-    # a class's text is under its smallest id, or among the rows without id; the key tells it from others there
-    texts = source.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").unionByName(source.where("id is null"))
-    sets = texts.mapInArrow(tidy(read_sets), "key binary, members binary").join(wanted.select("node", "key"), "key").dropDuplicates(["key"])
-    sets = materialize(sets.select("node", "members"), "minhash-sets")
+    texts = source.select("node", "text").join(wanted, "node", "left_semi")
+    sets = materialize(few_files(texts.mapInArrow(tidy(read_sets), "node long, members binary"), rows, 50_000), "minhash-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(i).to_pylist() for i in (2, 3))
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right)]
+            (left, at), (right, to) = (words_of(batch.column(i), np.uint64) for i in (2, 3))
+            good = [similar(left[at[i] : at[i + 1]], right[to[i] : to[i + 1]], percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    links = materialize(both.select("a", "b", "x", "y").mapInArrow(tidy(confirm), "a long, b long"), "minhash-links")
-    parts = materialize(connected_components(links, name="minhash-components"), "minhash-parts")
+    links = both.select("a", "b", "x", "y").mapInArrow(tidy(confirm), "a long, b long")
+    parts = connected_components(links, name="minhash-parts", rows=rows)
 
     # regions that still hold several components
     placed = regions.join(sets.select("node"), "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    placed = materialize(placed.select("t", "region", "node", "part"), "minhash-regions")
-    mixed_regions = placed.groupBy("t", "region").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size")).where("least <> most")
-    split = placed.join(mixed_regions.select("t", "region", "size"), ["t", "region"])
-    split = split.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = materialize(few_files(placed.select("t", "region", "node", "part", "n"), rows), "minhash-regions")
+    mixed_regions = placed.groupBy("t", "region").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size"), F.sum("n").alias("hashes")).where("least <> most")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(8 * F.col("hashes") / block_bytes)).cast("int")
+    split = placed.join(mixed_regions.select("t", "region", blocks.alias("blocks")), ["t", "region"])
+    split = split.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = sets.join(classes.select("node", "signature"), "node")
     split = split.select(F.col("t").cast("long").alias("t"), "region", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "own", "node", "part").join(members, "node").select("t", "region", "lo", "hi", "own", "node", "part", "members", "signature")
@@ -149,9 +157,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     def across_parts(group: pa.Table) -> Iterator[pa.RecordBatch]:
         lo, hi = (group.column(i)[0].as_py() for i in (2, 3))
         own, node, part = (group.column(i).to_numpy() for i in (4, 5, 6))
-        raw = group.column(7).to_pylist()
-        sizes = np.asarray([len(x) // 8 for x in raw])
-        sign_ = np.frombuffer(b"".join(group.column(8).to_pylist()), ">u4").reshape(len(node), -1).astype(np.uint32)
+        hashes, bounds = words_of(group.column(7), np.uint64)
+        sizes = np.diff(bounds)
+        sign_ = words_of(group.column(8), np.uint32)[0].reshape(len(node), -1)  # only compared, in whichever byte order
         left, right = (np.arange(len(node)),) * 2 if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
         parent = {int(p): int(p) for p in part}
 
@@ -169,22 +177,23 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
                 continue
             alike = (sign_[j] == sign_[i]).sum(axis=1)
             j, alike = j[alike >= agree], alike[alike >= agree]
-            mine = np.frombuffer(raw[i], np.uint64)
+            mine = hashes[bounds[i] : bounds[i + 1]]
             for k in j[np.argsort(-alike, kind="stable")].tolist():
                 a, b = root(int(part[i])), root(int(part[k]))
-                if a != b and similar(mine, np.frombuffer(raw[k], np.uint64), percent):
+                if a != b and similar(mine, hashes[bounds[k] : bounds[k + 1]], percent):
                     parent[max(a, b)] = min(a, b)
                     out.append((int(node[i]), int(node[k])))
         if out:
             stars = union_find(np.asarray(out, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], names=["a", "b"])
 
-    more = materialize(sorted_groups(split, ["t", "region", "lo", "hi"], across_parts, "a long, b long"), "minhash-more")
-    for old in (pairs, links, placed, sets):
-        discard(old)
+    more = sorted_groups(split, ["t", "region", "lo", "hi"], across_parts, "a long, b long")
     stars = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = connected_components(stars.unionByName(more), name="minhash-final")
+    final = connected_components(stars.unionByName(more), name="minhash-final", rows=rows)
     known = smallest_ids(classes, final).select("key", F.coalesce("part", F.xxhash64("key")).alias("part"))
-    known = materialize(known, "minhash-known")
-    discard(classes)
-    return signed.select("id", "n", "key").join(known, "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("part", "id").alias("component_id"))
+    with_words = signed.where("key is not null").select("id", "n", "key").join(known, "key").select("id", "n", "part")
+    without = signed.where("key is null").select("id", "n", F.col("id").alias("part"))
+    out = with_words.unionByName(without).select("id", F.col("n").alias("n_shingles"), F.col("part").alias("component_id"))
+    out = materialize(few_files(out, rows), "minhash-result")
+    discard(pairs, placed, sets, classes, signed, parts, final, rows_of)
+    return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, counts, embeddings, fingerprints, id_files, language, minhash, packing, pieces, repeats
+from .common import local_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +67,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = local_rows(spark, {"conv_id": (pa.int64(), [-7, -7]), "turn": (pa.int64(), [0, 1]), "role": (pa.string(), ["user", "assistant"]), "text": (pa.string(), [said, said])})
     digests = chat.conversation_digests(chat.format_conversations(rows.unionByName(extra)))
     return digests.withColumnRenamed("conv", "conv_id")
 

@@ -24,8 +24,14 @@ suffixes with a common prefix of ``width`` bytes or more - the repeated
 intervals - and no suffix was sorted again.  In each interval all but the first
 occurrence repeat.
 
-An anchor with more than ``block`` different stretches is dealt as all pairs of
-its blocks, each pair merging the transforms of two shards.
+An anchor with more than ``block`` different stretches - a common line in many
+surroundings - is split by its contexts: a window with ``room`` bytes beside the
+anchor holds half of them on its right or on its left, so each stretch goes on
+under the anchor lengthened by that many bytes to the right, and again to the
+left, cut to the windows concerned; all places of a window take the same way.
+Equal cuts are collapsed to the first, and groups that are still too large are
+split again, until after seven rounds a group is one string.  The work is linear
+in the anchor's stretches, and no group in a task is larger than ``block``.
 
 Not everything goes through transforms: at 1.5 to 2 microseconds a byte in numpy
 the whole text would cost several thousand CPU seconds a GB; see the README.
@@ -38,6 +44,7 @@ in that order; extra columns are dropped; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,16 +52,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, materialize, numbered, slices, tidy, utf8_of
+from .common import discard, few_files, give_back, materialize, numbered, slices, tidy, utf8_of
 from .fingerprints import _table, mixed
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int):
-    """(text index, start, windows, anchor hash, content hash) of each run of windows with one anchor."""
+    """(text index, start, windows, anchor's place behind the start, anchor hash, content hash) of each run of windows with one anchor."""
     n = len(data) - width + 1
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+    empty = tuple(np.zeros(0, np.int64) for _ in range(6))
     if n <= 0:
         return empty
     power, inverse = _table(len(data))
@@ -85,7 +92,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int):
     tail = last + width - 1
     content = mixed((sums[tail] - sums[starts]) * inverse[starts] + windows.astype(np.uint64))
     text = np.searchsorted(offsets, starts, side="right") - 1
-    return text, starts - offsets[text], windows, hashes[spots[starts]].view(np.int64), content.view(np.int64)
+    return text, starts - offsets[text], windows, spots[starts] - starts, hashes[spots[starts]].view(np.int64), content.view(np.int64)
 
 
 # ---- transforms ---------------------------------------------------------
@@ -194,25 +201,40 @@ def repeated_windows(raw: list[bytes], doc: np.ndarray, start: np.ndarray, width
     return list(zip(spots[heads, 0].tolist(), spots[heads, 1].tolist(), (tails - heads + width - 1).tolist()))
 
 
+def _by_context(crowded: DataFrame, core: int, room: int) -> DataFrame:
+    """The stretches (key, doc, start, at, raw) of crowded groups under their ``core`` bytes lengthened to the right and to the left, cut to the windows that hold them."""
+    more, at, size = (room + 1) // 2, F.col("at").cast("int"), F.length("raw")
+
+    def cut(begin, end, core_at, side: int):
+        enough = (core_at >= 0) & (core_at + core + more <= size) & (end - begin >= core + room)
+        key = F.xxhash64("key", F.substring("raw", core_at + 1, F.lit(core + more)), F.lit(side))
+        return F.when(enough, F.struct(key.alias("key"), "doc", (F.col("start") + begin).alias("start"), (core_at - begin).cast("long").alias("at"), F.substring("raw", begin + 1, end - begin).alias("raw")))
+
+    right = cut(F.greatest(at - (room - more), F.lit(0)), F.least(at + core + room, size), at, 0)
+    left = cut(F.greatest(at - room, F.lit(0)), F.least(at - more + core + room, size), at - more, 1)
+    return crowded.select(F.explode(F.filter(F.array(right, left), lambda x: x.isNotNull())).alias("w")).select("w.*")
+
+
 # ---- the distributed steps ----------------------------------------------
-def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: str = "doc_id", text_col: str = "text", block: int = 3000, shard_bytes: int = 1 << 17, carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans long, kept binary) of every row, and the columns named in ``carry``.
+def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: str = "doc_id", text_col: str = "text", block: int = 1000, shard_bytes: int = 1 << 17, task_bytes: int = 2 << 20, carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans long, kept binary) of every row; with ``carry``, also a struct ``carried`` of the columns named there, but for the text.
 
     ``decoded``: kept is a string, without the characters that were cut in two.
     """
     if width % 2 or width > 120:
         raise ValueError("width: an even number of bytes up to 120")
-    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("carried"))
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry if c != text_col] or [F.lit(0)]).alias("carried"))
     docs = numbered(source, "id", "text")
     texts = docs.select("doc", "text")
+    n_docs = docs.count()
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All stretches; those that repeat one of the same task's batch have windows < 0 and are dealt by place."""
-        held: list[np.ndarray] = []
+        found: list[np.ndarray] = []
 
         def settle():
-            doc, start, windows, key, content = np.concatenate(held, axis=1)
-            held.clear()
+            doc, start, windows, key, content = np.concatenate(found, axis=1)
+            found.clear()
             order = np.lexsort((start, doc, content, key))
             doc, start, windows, key, content = (x[order] for x in (doc, start, windows, key, content))
             again = np.zeros(len(doc), bool)
@@ -225,12 +247,12 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
 
         for whole in batches:
             for batch in slices(whole, 1, 1 << 17):
-                text, start, windows, key, content = stretches(*utf8_of(batch.column(1)), width, anchor)
+                text, start, windows, at, key, content = stretches(*utf8_of(batch.column(1)), width, anchor)
                 if len(text):
-                    held.append(np.stack([batch.column(0).to_numpy()[text], start, windows, key, content]))
-                if sum(h.shape[1] for h in held) > 300_000:
+                    found.append(np.stack([batch.column(0).to_numpy()[text], start, at << 8 | windows, key, content]))
+                if sum(h.shape[1] for h in found) > 300_000:
                     yield from settle()
-        if held:
+        if found:
             yield from settle()
 
     def second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +264,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 continue
             key, content, doc, place = (c.to_numpy() for c in batch.columns)
             local = place < 0
-            start, windows = np.abs(place) >> 16, np.abs(place) & 0xFFFF
+            start, at, windows = np.abs(place) >> 16, np.abs(place) >> 8 & 0xFF, np.abs(place) & 0xFF
             new_key = np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
             new_content = new_key.copy()
@@ -256,44 +278,57 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
             heads = np.flatnonzero(new_key)
             wanted[heads[shared[shared > 0] - 1]] = True
             wanted &= ~local
-            rows = [np.stack([doc, start, windows, key, np.ones_like(doc)])[:, wanted]]
+            rows = [np.stack([doc, start, windows, key, at, np.ones_like(doc)])[:, wanted]]
             if 0 in shared and pending is not None:
                 rows.append(pending[:, None])
                 pending = None
             again = local | ~new_content
-            rows.append(np.stack([doc, start, windows + width - 1, key, np.zeros_like(doc)])[:, again])
+            rows.append(np.stack([doc, start, windows + width - 1, key, at, np.zeros_like(doc)])[:, again])
             if len(heads):
                 h = heads[-1]
-                pending = None if wanted[h] or local[h] else np.asarray([doc[h], start[h], windows[h], key[h], 1])
+                pending = None if wanted[h] or local[h] else np.asarray([doc[h], start[h], windows[h], key[h], at[h], 1])
             last_key, last_content = key[-1], content[-1]
             out = np.concatenate(rows, axis=1)
             if out.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "start", "size", "key", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "start", "size", "key", "at", "kind"])
 
     looked = texts.mapInArrow(tidy(first_look), "key long, content long, doc long, place long")
     looked = looked.repartition("key").sortWithinPartitions("key", "content", "doc", F.abs("place"))
-    found = materialize(looked.mapInArrow(tidy(second_look), "doc long, start long, size long, key long, kind long"), "repeats-found", "kind")
+    found = looked.mapInArrow(tidy(second_look), "doc long, start long, size long, key long, at long, kind long")
+    found = materialize(few_files(found, n_docs, 5_000), "repeats-found")
 
-    wanted = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key")).alias("wanted"))
+    wanted = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key", "at")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text, want in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
-                out += [(w["key"], doc, w["start"], raw[w["start"] : w["start"] + w["size"] + width - 1]) for w in want]
+                out += [(w["key"], doc, w["start"], w["at"], raw[w["start"] : w["start"] + w["size"] + width - 1]) for w in want]
             for at in range(0, len(out), 20_000):
                 columns = zip(*out[at : at + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc", "start", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc", "start", "at", "raw"])
 
-    rims = materialize(texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(tidy(fetch), "key long, doc long, start long, raw binary"), "repeats-rims")
-    sizes = rims.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = rims.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc", "start"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc", "start", "raw")
+    rims = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(tidy(fetch), "key long, doc long, start long, at long, raw binary")
+    live = materialize(few_files(rims, n_docs, 20_000), "repeats-rims")
+    core, room, made, groups, again = anchor, width - anchor, [live], [], []
+    while True:
+        # a table, so that the joins below read it through a shuffle of its own and a hot anchor's side can be split
+        sizes = materialize(few_files(live.groupBy("key").agg(F.count("*").alias("n")), n_docs), "repeats-sizes")
+        made.append(sizes)
+        groups.append(live.join(sizes.where(F.col("n").between(2, block)), "key", "left_semi"))
+        crowded = sizes.where(F.col("n") > block)
+        if crowded.isEmpty():
+            break
+        wider = materialize(_by_context(live.join(crowded, "key", "left_semi"), core, room), "repeats-contexts")
+        firsts = materialize(wider.groupBy("key", "raw").agg(F.min(F.struct("doc", "start", "at")).alias("f")), "repeats-firsts")
+        made += [wider, firsts]
+        again.append(wider.join(firsts, ["key", "raw"]).where((F.col("doc") != F.col("f.doc")) | (F.col("start") != F.col("f.start"))).select("doc", "start", F.length("raw").cast("long").alias("size")))
+        live = firsts.select("key", "f.*", "raw")
+        core, room = core + (room + 1) // 2, room // 2
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole groups of (key, lo, hi), as many together as make a shard worth a transform."""
+        """Whole groups of a key, as many together as make a shard worth a transform."""
         raw, doc, start, size, last = [], [], [], 0, None
 
         def settle():
@@ -302,7 +337,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans)], names=["doc", "start", "size"])
 
         for batch in batches:
-            for *group, d, s, r in zip(*(c.to_pylist() for c in batch.columns)):
+            for group, d, s, r in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= shard_bytes and group != last:
                     yield from settle()
                     raw, doc, start, size = [], [], [], 0
@@ -314,10 +349,13 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
         if raw:
             yield from settle()
 
-    merged = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc", "start").mapInArrow(tidy(merge), "doc long, start long, size long")
-    merged = materialize(merged, "repeats-merged")
-    discard(rims)
-    spans = found.where("kind = 0").select("doc", "start", "size").unionByName(merged).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    # a byte costs about a microsecond here: as many tasks as there is work, where the engine would go by size
+    met = reduce(DataFrame.unionByName, [g.select("key", "doc", "start", "raw") for g in groups])
+    work = (met.agg(F.sum(F.length("raw")).alias("n")).first()["n"] or 0) // task_bytes + 1
+    merged = met.repartition(work, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(tidy(merge), "doc long, start long, size long")
+    spans = reduce(DataFrame.unionByName, [*again, merged], found.where("kind = 0").select("doc", "start", "size")).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = materialize(few_files(spans, n_docs, 100_000), "repeats-spans")
+    discard(found, *made)
 
     @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
     def cut(texts_: pd.Series, spans_: pd.Series) -> pd.DataFrame:
@@ -339,4 +377,4 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     done = docs.join(spans, "doc", "left").withColumn("cut", cut("text", "spans"))
-    return done.select("id", "cut.*", *[F.col("carried").getField(c).alias(c) for c in carry])
+    return done.select("id", "cut.*", *["carried"] * bool(carry))

@@ -61,5 +61,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = min(len(a), len(b)), max(len(a), len(b))
     if not small or 100 * small < percent * large:
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
     return 100 * both >= percent * (len(a) + len(b) - both)

@@ -276,6 +276,8 @@ def test_repeats(spark):
     letters = "abcdefgé 日"
     passage = "".join(RNG.choice(letters) for _ in range(400))
     texts = [(i, "".join(RNG.choice(letters) for _ in range(RNG.randrange(200))) + passage[a : a + n] + "".join(RNG.choice(letters) for _ in range(RNG.randrange(90)))) for i in range(40) for a, n in [(RNG.randrange(200), RNG.randrange(220))]]
+    line = "".join(RNG.choice(letters) for _ in range(60))  # one line in many surroundings, some of them shared
+    texts += [(100 + i, "".join(RNG.choice("ab") for _ in range(90)) + line[: RNG.randrange(40, 61)] + passage[: RNG.choice([0, 20, 45])] + "".join(RNG.choice("cd") for _ in range(90))) for i in range(60)]
     texts += [(50, "ab" * 300), (51, "x" * 450), (52, None), (53, ""), (54, texts[3][1]), (55, texts[3][1][:99])]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     for block in (3000, 4):
