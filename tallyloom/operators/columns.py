@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,23 +53,34 @@ def key_containment(foreign: DataFrame, column: str, keyed: DataFrame, key: str)
     return unique.join(F.broadcast(missing))  # one row and one row
 
 
-def sort_order(df: DataFrame, column: str, position: str, buckets: int = 64) -> DataFrame:
+def sort_order(df: DataFrame, column: str, position: str) -> DataFrame:
     """(ascending, descending): whether ``column`` is sorted along ``position``.
 
-    Checked inside ranges of ``position`` and between neighbouring ranges'
-    ends, so that no task sees the whole column.
+    Rows are dealt by ranges of ``position`` (from a sample, so skewed places spread) and
+    each task looks at its own neighbours; its two ends, one row a task, are
+    compared with the next task's.
     """
-    bounds = df.agg(F.min(position).alias("a"), F.max(position).alias("b")).first()
-    if bounds["a"] is None:
-        return df.sparkSession.createDataFrame([(True, True)], "ascending boolean, descending boolean")
-    width = max(1, (int(bounds["b"]) - int(bounds["a"])) // buckets + 1)
-    from pyspark.sql import Window
-
-    ranged = df.select(F.floor((F.col(position) - int(bounds["a"])) / width).alias("g"), F.col(position).alias("p"), F.col(column).alias("v"))
-    before = F.lag("v").over(Window.partitionBy("g").orderBy("p"))
-    inner = ranged.withColumn("u", before).groupBy("g").agg(F.coalesce(F.bool_and(F.col("u") <= F.col("v")), F.lit(True)).alias("up"), F.coalesce(F.bool_and(F.col("u") >= F.col("v")), F.lit(True)).alias("down"), F.min_by("v", "p").alias("first"), F.max_by("v", "p").alias("last"))
-    ends = F.lag("last").over(Window.orderBy("g"))  # ``buckets`` rows
-    return inner.withColumn("u", ends).agg(F.bool_and(F.col("up") & (F.col("u").isNull() | (F.col("u") <= F.col("first")))).alias("ascending"), F.bool_and(F.col("down") & (F.col("u").isNull() | (F.col("u") >= F.col("first")))).alias("descending"))
+    pairs = df.select(F.col(position).cast("long").alias("p"), F.col(column).cast("long").alias("v"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        up = down = True
+        for batch in batches:
+            v = batch.column(1).to_numpy()
+            if not len(v):
+                continue
+            whole = v if last is None else np.concatenate([[last], v])
+            up &= bool((whole[1:] >= whole[:-1]).all())
+            down &= bool((whole[1:] <= whole[:-1]).all())
+            first, last = (int(v[0]) if first is None else first), int(v[-1])
+        if last is not None:
+            yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "first": first, "last": last, "up": up, "down": down}])
+
+    ranged = pairs.repartitionByRange("p").sortWithinPartitions("p")
+    ends = ranged.mapInArrow(look, "task long, first long, last long, up boolean, down boolean")
+    before = F.lag("last").over(Window.orderBy("task"))  # one row a task
+    flags = ends.withColumn("u", before).select((F.col("up") & (F.col("u").isNull() | (F.col("u") <= F.col("first")))).alias("up"), (F.col("down") & (F.col("u").isNull() | (F.col("u") >= F.col("first")))).alias("down"))
+    return flags.agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("ascending"), F.coalesce(F.bool_and("down"), F.lit(True)).alias("descending"))
 
 
 def semi_reduce(df: DataFrame, column: str, keyed: DataFrame, key: str) -> DataFrame:
@@ -86,7 +100,3 @@ def range_partitions(df: DataFrame, column: str, parts: int) -> DataFrame:
     part = F.floor((F.col(column) - int(low or 0)) / width).cast("long")
     return df.groupBy(part.alias("part")).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count("*").alias("rows"))
 
-
-def all_of(conditions: list):
-    """The conjunction; true where there is nothing to meet."""
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -2,22 +2,29 @@
 
 Binary: rows and columns as unsigned 64-bit little-endian numbers, then each
 column's values as one array.  A table is read as partitions of row ranges, each
-seeking its slice of every column; it is written by tasks that each fill their
-own slices of one file.
+seeking its slice of the wanted columns; only the header is read on the driver.
+It is written by tasks that each fill their own slices of one file, or as a
+folder of such files, one a task, which no two tasks share.
+
+Paths are local, or addresses of a file system that Arrow knows (s3://, hdfs://,
+gs://, file://).
 """
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, InputPartition, LessThan
+
+from .shared import delete_path, fresh_path
 
 HEADER, HEADER_SIZE = "<QQ", 16  # rows, columns
 
@@ -26,101 +33,159 @@ class FormatError(ValueError):
     """A file isn't a relation."""
 
 
+def _located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+
+
+def relation_files(path: str) -> list[str]:
+    """The files of a relation: itself, or those of a folder in the order of their names."""
+    system, place = _located(path)
+    info = system.get_file_info(place)
+    if info.type == pyarrow.fs.FileType.NotFound:
+        raise FormatError(f"{path}: no such file")
+    if info.type != pyarrow.fs.FileType.Directory:
+        return [path]
+    inside = system.get_file_info(pyarrow.fs.FileSelector(place))
+    head = path[: len(path) - len(place)] if "://" in path else ""
+    return [head + x.path for x in sorted(inside, key=lambda x: x.path) if x.is_file and not x.base_name.startswith(("_", "."))]
+
+
 def read_header(path: str) -> tuple[int, int]:
-    size = os.path.getsize(path)
+    """(rows, columns) of one file, checked against its size."""
+    system, place = _located(path)
+    size = system.get_file_info(place).size or 0
     if size < HEADER_SIZE:
         raise FormatError(f"{path}: {size} bytes are no header")
-    with open(path, "rb") as f:
+    with system.open_input_file(place) as f:
         rows, columns = struct.unpack(HEADER, f.read(HEADER_SIZE))
     if size != HEADER_SIZE + 8 * rows * columns:
         raise FormatError(f"{path}: {rows} x {columns} values don't fit {size} bytes")
     return rows, columns
 
 
-def column_maxima(path: str, step: int = 1 << 20) -> list[int]:
-    rows, columns = read_header(path)
-    out = []
-    with open(path, "rb") as f:
-        f.seek(HEADER_SIZE)
-        for _ in range(columns):
-            top, left = 0, rows
-            while left:
-                part = np.fromfile(f, "<u8", min(step, left))
-                top, left = max(top, int(part.max())), left - len(part)
-            out.append(top)
-    return out
-
-
-def binary_schema(path: str, unsigned: bool | None = None) -> T.StructType:
-    """From the header alone: long columns, or with ``unsigned`` decimal(20,0); None: decimal where a value needs it."""
-    _, columns = read_header(path)
-    big = [bool(unsigned)] * columns if unsigned is not None else [m >= 1 << 63 for m in column_maxima(path)]
-    return T.StructType([T.StructField(f"c{i}", T.DecimalType(20, 0) if b else T.LongType(), False) for i, b in enumerate(big)])
-
-
 class _Rows(InputPartition):
-    def __init__(self, begin: int, end: int):
-        self.begin, self.end = begin, end
+    def __init__(self, path: str, rows: int, begin: int, end: int):
+        self.path, self.rows, self.begin, self.end = path, rows, begin, end
 
 
 class _BinaryReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, split_rows: int):
-        self.path, self.schema, self.split_rows = path, schema, split_rows
+    def __init__(self, path: str, schema: T.StructType, places: list[int], split_rows: int):
+        self.path, self.schema, self.places, self.split_rows = path, schema, places, split_rows
+        self.tests: list[tuple[int, str, int]] = []  # (position in the schema, comparison, value)
 
     def partitions(self) -> list[_Rows]:
-        rows, _ = read_header(self.path)
-        return [_Rows(a, min(a + self.split_rows, rows)) for a in range(0, rows, self.split_rows)] or [_Rows(0, 0)]
+        parts = []
+        for path in relation_files(self.path):
+            rows, _ = read_header(path)
+            parts += [_Rows(path, rows, a, min(a + self.split_rows, rows)) for a in range(0, rows, self.split_rows)]
+        return parts or [_Rows(self.path, 0, 0, 0)]
 
     def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
-        rows, _ = read_header(self.path)
-        for begin in range(part.begin, part.end, 1 << 16):
-            n = min(1 << 16, part.end - begin)
-            arrays = []
-            with open(self.path, "rb") as f:
-                for i, field in enumerate(self.schema.fields):
-                    f.seek(HEADER_SIZE + 8 * (i * rows + begin))
-                    values = np.fromfile(f, "<u8", n)
-                    if isinstance(field.dataType, T.LongType):
-                        arrays.append(pa.array(values.view("<i8")))
-                    else:
-                        arrays.append(pa.array(values, pa.uint64()).cast(pa.decimal128(20, 0)))
-            yield pa.RecordBatch.from_arrays(arrays, names=self.schema.names)
+        if part.begin == part.end:
+            return
+        system, place = _located(part.path)
+        with system.open_input_file(place) as f:
+            for begin in range(part.begin, part.end, 1 << 16):
+                n = min(1 << 16, part.end - begin)
+                values = [np.frombuffer(f.read_at(8 * n, HEADER_SIZE + 8 * (i * part.rows + begin)), "<u8") for i in self.places]
+                if self.tests:
+                    kept = np.ones(n, bool)
+                    for k, op, value in self.tests:
+                        if value >= 1 << 64:
+                            kept &= op == "<"
+                        else:
+                            v = np.uint64(value)
+                            kept &= values[k] == v if op == "=" else values[k] > v if op == ">" else values[k] < v
+                    values = [v[kept] for v in values]
+                arrays = [pa.array(v.view("<i8")) if isinstance(field.dataType, T.LongType) else pa.array(v, pa.uint64()).cast(pa.decimal128(20, 0)) for v, field in zip(values, self.schema.fields)]
+                yield pa.RecordBatch.from_arrays(arrays, names=self.schema.names)
+
+
+class _FilteringReader(_BinaryReader):
+    """For sessions that push filters into Python sources; others refuse a reader that takes them."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of a column with a number are done before rows leave the reader; other filters are given back."""
+        known = {EqualTo: "=", GreaterThan: ">", LessThan: "<"}
+        for f in filters:
+            op = known.get(type(f))
+            if op and len(f.attribute) == 1 and f.attribute[0] in self.schema.names and isinstance(f.value, int) and f.value >= 0:
+                self.tests.append((self.schema.names.index(f.attribute[0]), op, f.value))
+            else:
+                yield f
 
 
 class BinaryRelation(DataSource):
-    """``spark.read.format("binary_relation").load(path)``; options: unsigned, splitRows."""
+    """``spark.read.format("binary_relation").load(path)``; options: columns (positions to read, all by default), wide (positions of decimal(20,0) columns, or all), splitRows, pushFilters.
+
+    The schema comes from the header alone.  ``pushFilters`` is for sessions with
+    ``spark.sql.python.filterPushdown.enabled``; :func:`read_binary` looks.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "binary_relation"
 
+    def _positions(self, option: str, count: int) -> list[int]:
+        text = self.options.get(option, "")
+        return list(range(count)) if text == "all" else [int(x) for x in text.split(",") if x]
+
     def schema(self) -> T.StructType:
-        unsigned = self.options.get("unsigned")
-        return binary_schema(self.options["path"], None if unsigned is None else unsigned.lower() == "true")
+        _, count = read_header(relation_files(self.options["path"])[0])
+        wide = set(self._positions("wide", count))
+        return T.StructType([T.StructField(f"c{i}", T.DecimalType(20, 0) if i in wide else T.LongType(), False) for i in self._positions("columns", count) or range(count)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _BinaryReader(self.options["path"], schema, int(self.options.get("splitRows", 4_000_000)))
+        kind = _FilteringReader if self.options.get("pushFilters") == "true" else _BinaryReader
+        return kind(self.options["path"], schema, [int(name[1:]) for name in schema.names], int(self.options.get("splitRows", 4_000_000)))
+
 
+def read_binary(spark: SparkSession, path: str, unsigned: bool | None = None, split_rows: int = 4_000_000, columns: list[int] | None = None) -> DataFrame:
+    """A relation, or its columns at some positions.
 
-def read_binary(spark: SparkSession, path: str, unsigned: bool | None = None, split_rows: int = 4_000_000) -> DataFrame:
+    Columns are longs, or with ``unsigned`` decimal(20,0).  By default those are
+    decimal whose values need it, found by a distributed pass.
+    """
     spark.dataSource.register(BinaryRelation)
-    reader = spark.read.format("binary_relation").option("splitRows", str(split_rows))
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+
+    def load(wide: str) -> DataFrame:
+        reader = spark.read.format("binary_relation").option("splitRows", str(split_rows)).option("wide", wide).option("pushFilters", push)
+        return (reader.option("columns", ",".join(map(str, columns))) if columns is not None else reader).load(path)
+
     if unsigned is not None:
-        reader = reader.option("unsigned", str(unsigned).lower())
-    return reader.load(path)
+        return load("all" if unsigned else "")
+    longs = load("")
+    least = longs.agg(*[F.min(c).alias(c) for c in longs.columns]).first()  # a value of 2^63 or more reads as a negative long
+    wide = [c[1:] for c in longs.columns if (least[c] or 0) < 0]
+    return load(",".join(wide)) if wide else longs
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    """A decimal(20,0) column of values below 2^64 as unsigned integers, without Python numbers."""
+    words = np.frombuffer(column.buffers()[1], "<u8")[2 * column.offset : 2 * (column.offset + len(column))]
+    if column.null_count or words[1::2].any():
+        raise FormatError("only whole numbers from 0 to 2^64 - 1 can be written")
+    return words[::2]
+
+
+def _pinned(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as decimals c0, c1, ... in a table of its own, whose partitions are the same in each pass."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "relation")
+    df.select(*[F.col(f"`{c}`").cast("decimal(20,0)").alias(f"c{i}") for i, c in enumerate(df.columns)]).write.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def write_binary(df: DataFrame, path: str) -> None:
-    """One file of the binary format on a file system that all tasks share; rows keep the order of the partitions."""
-    names = df.columns
-    source = df.select(*[F.col(f"`{c}`").cast("decimal(20,0)").alias(f"c{i}") for i, c in enumerate(names)])
-    # a fixed order of rows for both passes
-    source = source.withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["n"] for r in source.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    """One file of the binary format on a local file system that all tasks share; rows keep the order of the table that is written first."""
+    spark, names = df.sparkSession, df.columns
+    pinned, table = _pinned(df)
+    source = pinned.withColumn("_part", F.spark_partition_id())
     starts, rows = {}, 0
-    for part in sorted(counts):
-        starts[part] = rows
-        rows += counts[part]
+    for r in sorted(source.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        starts[r["_part"]] = rows
+        rows += r["n"]
     with open(path, "wb") as f:
         f.write(struct.pack(HEADER, rows, len(names)))
         f.truncate(HEADER_SIZE + 8 * rows * len(names))
@@ -133,17 +198,55 @@ def write_binary(df: DataFrame, path: str) -> None:
             part = batch.column(len(names))[0].as_py()
             with open(path, "r+b") as f:
                 for i in range(len(names)):
-                    values = np.asarray([int(v) for v in batch.column(i).to_pylist()], "<u8")
                     f.seek(HEADER_SIZE + 8 * (i * rows + starts[part] + done))
-                    f.write(values.tobytes())
+                    f.write(_unsigned(batch.column(i)).tobytes())
             done += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
 
     written = source.mapInArrow(fill, "done long").agg(F.sum("done")).first()[0]
+    delete_path(spark, table)
     if (written or 0) != rows:
         raise OSError(f"{path}: {written} of {rows} rows written")
 
 
+def write_binary_parts(df: DataFrame, path: str, part_rows: int = 4_000_000) -> None:
+    """A folder of files of the binary format, of at most ``part_rows`` rows each; a task that is run again writes the same files again.
+
+    For file systems of Arrow's that can't write into the middle of a file, and for tables of any size.
+    """
+    pinned, table = _pinned(df)
+    count = len(df.columns)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, held, n, total = TaskContext.get().partitionId(), 0, [], 0, 0
+        system, place = _located(path)
+
+        def close():
+            nonlocal number, held, n
+            if n:
+                system.create_dir(place, recursive=True)
+                with system.open_output_stream(f"{place}/part-{task:06d}-{number:04d}") as f:
+                    f.write(struct.pack(HEADER, n, count))
+                    for i in range(count):
+                        for columns in held:
+                            f.write(columns[i].tobytes())
+            number, held, n = number + 1, [], 0
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, part_rows):
+                piece = batch.slice(at, part_rows)
+                if n + piece.num_rows > part_rows:
+                    close()
+                held.append([_unsigned(piece.column(i)).copy() for i in range(count)])
+                n += piece.num_rows
+                total += piece.num_rows
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["done"])
+
+    pinned.mapInArrow(store, "done long").agg(F.sum("done")).collect()
+    delete_path(df.sparkSession, table)
+
+
 def read_delimited(spark: SparkSession, path: str, columns: int, unsigned: bool = False) -> DataFrame:
     """``v|v|...|`` lines, with the delimiter also at the end."""
     kind = T.DecimalType(20, 0) if unsigned else T.LongType()
@@ -169,7 +272,7 @@ def ddl(relation: int, columns: int) -> str:
 
 def store_all(df: DataFrame, folder: str, relation: int) -> None:
     """The relation as binary file, delimited text and statements, under r<relation> in ``folder``."""
-    os.makedirs(folder, exist_ok=True)
+    pyarrow.fs.LocalFileSystem().create_dir(folder, recursive=True)
     write_binary(df, f"{folder}/r{relation}")
     write_delimited(df, f"{folder}/r{relation}.tbl")
     with open(f"{folder}/r{relation}.sql", "w") as f:

@@ -162,3 +162,159 @@ def test_streamed_requests(spark, identity, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["s0", "s1", "s2"]
     assert set(engine.oracle_sql()) == set(engine.queries())
+
+
+def test_queries_without_the_training_data_folders(tmp_path):
+    """The entry works where the training-data folders, and with or without them their pipeline, are gone."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    shutil.copytree(f"{root}/tallyloom", tmp_path / "tallyloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) == set(q) and 'pipeline' not in q, q; print(len(q))"
+    for _ in range(2):
+        ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+        assert ran.returncode == 0, ran.stderr
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_columns_and_filters_reach_the_binary_reader(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    df = files.generated(spark, 1000, 3).select("c0", (F.col("c1") * 2).alias("c1"), F.expr("CAST(18446744073709551615 AS DECIMAL(20,0)) - c2").alias("c2"))
+    files.write_binary_parts(df, path, part_rows=300)
+    assert len(files.relation_files(path)) >= 4
+    read = files.read_binary(spark, path)
+    assert dict(read.dtypes) == {"c0": "bigint", "c1": "bigint", "c2": "decimal(20,0)"}
+    assert sorted(map(tuple, read.collect())) == sorted(tuple(r) for r in df.collect())
+    assert sorted(r[0] for r in files.read_binary(spark, path, columns=[1], unsigned=False).where("c1 > 10 AND c1 < 20").collect()) == [12, 14, 16, 18]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = files.read_binary(spark, path, columns=[1, 0]).where("c1 > 10 AND c1 < 20 AND c0 <> 8")
+        assert "c1 > 10" not in pushed._jdf.queryExecution().executedPlan().toString().split("Filter")[1].split("\n")[0]
+        assert sorted(r[0] for r in pushed.collect()) == [12, 14, 18]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(Exception, match="whole numbers"):
+        files.write_binary(spark.createDataFrame([(-1,)], "a long"), str(tmp_path / "negative"))
+
+
+def test_layouts(spark, tmp_path):
+    from tallyloom.operators import layout
+
+    df = spark.range(20_000).select(F.col("id").alias("c0"), (F.col("id") % 97).alias("c1"))
+    stored = layout.write_sorted(df, str(tmp_path / "sorted"), "c0", ("c1",), files=4)
+    narrow = stored.where("c0 > 100 AND c0 < 200")
+    assert "GreaterThan(c0,100)" in narrow._jdf.queryExecution().executedPlan().toString() and narrow.count() == 99
+    lows = sorted(r[0] for r in stored.groupBy(F.input_file_name()).agg(F.min("c0"), F.max("c0")).select("min(c0)").collect())
+    assert len(lows) == 4 and lows[1] > 200  # three files of four hold nothing of the range
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = (layout.write_bucketed(df, f"bucketed_{n}", "c0", 4, str(tmp_path / f"b{n}")) for n in "ab")
+        joined = a.join(b, "c0").groupBy("c0").count()
+        assert joined.count() == 20_000 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [t for _, t in layout.compressed(df.where("c0 < 300")).dtypes] == ["smallint", "tinyint"]
+
+
+def test_catalog_keeps_and_forgets(spark, tmp_path):
+    catalog = Catalog(spark, reuse=True)
+    many = spark.range(400).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    catalog.add(many)
+    catalog.add(many.limit(300))
+    spec = parse_query("0 1|0.0=1.0|0.1 1.1")
+    expected = tuple(map(int, plan_query(spec, catalog, "naive").first()))
+    for _ in range(2):
+        assert tuple(map(int, plan_query(spec, catalog, "factorized").first())) == expected
+    assert catalog._aggregated and "InMemoryTableScan" in plan_query(spec, catalog, "factorized")._jdf.queryExecution().executedPlan().toString()
+    catalog.store(0, str(tmp_path / "stored"), by=1, bloom=(0,))
+    assert tuple(map(int, plan_query(spec, catalog).first())) == expected
+    catalog.drop(1)
+    with pytest.raises(KeyError):
+        catalog.frame(1)
+    assert not [k for k in catalog._aggregated if k[0] == 1] and not spark.catalog.tableExists("r1")
+    plain = Catalog(spark, explore=False)
+    plain.add(spark.createDataFrame([(1, 5), (2, 6)], "k long, v long"))
+    plain.add(spark.createDataFrame([(1,), (2,)], "k long"))
+    assert normalize(parse_query("0 1|0.0=1.0|0.1"), plain).dropped == []
+    plain.declare_contained((0, 0), (1, 0))
+    assert normalize(parse_query("0 1|0.0=1.0|0.1"), plain).dropped == [1]
+
+
+def test_skewed_key_is_factorized(spark):
+    """One hot key below a mean of two rows a key still multiplies."""
+    from tallyloom.plans.build import rows_bound, worth_factorizing
+    from tallyloom.plans.normalize import Classes
+
+    catalog = Catalog(spark)
+    for _ in range(2):
+        catalog.add(spark.range(600).select(F.when(F.col("id") < 500, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("v")).select(F.abs("k").alias("k"), "v"))
+    spec = parse_query("0 1|0.0=1.0|0.1 1.1")
+    assert worth_factorizing(spec, catalog)
+    unique = parse_query("0 1|0.1=1.1|0.0 1.0")
+    assert not worth_factorizing(unique, catalog) and rows_bound(unique, catalog, Classes(unique.joins)) == 600
+    assert rows_bound(spec, catalog, Classes(spec.joins)) == 360_000
+
+
+def test_statistics_follow_the_files(spark, tmp_path):
+    for name, names in engine.TABLES:
+        spark.createDataFrame([tuple(1 for _ in names)], ", ".join(f"{c} long" for c in names)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert engine.queries()["scan_sum"](spark, str(tmp_path)).first()[0] == 1
+    assert engine.catalog(spark, str(tmp_path)).range_of(6, 0) == (1, 1)
+    spark.createDataFrame([(5, 1, 1, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long").write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    assert engine.catalog(spark, str(tmp_path)).range_of(6, 0) == (1, 5)
+
+
+def test_explain(spark, identity):
+    from tallyloom.plans.explain import explain, to_dot
+
+    text = explain(parse_query("0 1 2|0.0=1.1&1.2=2.0&0.1<7|1.2"), identity.catalog)
+    assert "rewritten" in text and "at most" in text
+    dot = to_dot(parse_query("0 1 2|0.0=1.1&1.2=2.0&0.1<7|1.2"), identity.catalog)
+    assert dot.startswith("graph query {") and dot.count(" -- ") == 2
+    assert to_dot(parse_query("0 1 2|0.0=1.0&1.1=2.1&2.2=0.2|1.0"), identity.catalog).count(" -- ") == 3
+
+
+def test_many_bindings(identity):
+    """Beyond the exhaustive orders: fourteen bindings."""
+    chain = "&".join(f"{i}.0={i + 1}.0" for i in range(13))
+    assert identity.answer(f"{' '.join(str(i % 5) for i in range(14))}|{chain}&0.1<4|13.1") == "6"
+
+
+def test_sort_order_over_tasks(spark):
+    df = spark.range(5000).select(F.col("id").alias("p"), F.floor(F.col("id") / 3).alias("v"), (-F.col("id")).alias("w"), (F.col("id") % 7).alias("x")).repartition(5)
+    assert [tuple(ops.sort_order(df, c, "p").first()) for c in "vwx"] == [(True, False), (False, True), (False, False)]
+    assert tuple(ops.sort_order(df.limit(0), "v", "p").first()) == (True, True)
+
+
+@pytest.mark.skipif("WORKLOAD_DIR" not in __import__("os").environ, reason="WORKLOAD_DIR names no folder with *.init, *.work and *.result")
+def test_workload(spark):
+    """Every query of a workload whose relations are there, in its batches, against its stored answers."""
+    import glob
+    import os
+
+    folder = os.environ["WORKLOAD_DIR"]
+    read = lambda ending: open(glob.glob(f"{folder}/*.{ending}")[0]).read().split("\n")
+    names, answers = [x.strip() for x in read("init") if x.strip()], iter(x.strip() for x in read("result") if x.strip())
+    there = {i: f"{folder}/{n}.tbl" for i, n in enumerate(names) if n != "Done" and os.path.exists(f"{folder}/{n}.tbl")}
+    session = BatchSession(spark)
+    for number, path in there.items():
+        session.catalog.register(number, files.read_relation(spark, path))
+    batch, wanted, seen = [], [], 0
+    for line in (x.strip() for x in read("work") if x.strip()):
+        if line == "F":
+            assert session.batch(batch) == wanted
+            seen += len(batch)
+            batch, wanted = [], []
+        else:
+            answer = next(answers)
+            if set(parse_query(line).relations) <= set(there):
+                batch.append(line)
+                wanted.append(answer)
+    assert seen + len(batch) > 0 and (not batch or session.batch(batch) == wanted)
+    print(seen, "answers")
