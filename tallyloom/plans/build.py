@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
+from math import prod, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from .order import order_bindings
 from .spec import Col, QuerySpec
 
 LONG_LIMIT = 1 << 63
-HINTS = ("broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl")
+BROADCAST_BYTES = 64 << 20
 
 
 def named(c: Col) -> str:
@@ -27,7 +29,7 @@ def _literal(value: int) -> Column:
 def scan(spec: QuerySpec, catalog, binding: int, classes: Classes) -> DataFrame:
     """A binding's used columns under unique names, filtered; equalities inside the binding are filters."""
     used = {c for c in (*spec.selections, *(f.col for f in spec.filters), *(x for j in spec.joins for x in (j.left, j.right))) if c.binding == binding}
-    df = catalog.frame(spec.relations[binding]).select(*[F.col(f"c{c.position}").alias(named(c)) for c in sorted(used)])
+    df = catalog.frame(spec.relations[binding], sorted({c.position for c in used})).select(*[F.col(f"c{c.position}").alias(named(c)) for c in sorted(used)])
     for f in spec.filters:
         if f.col.binding == binding:
             c, v = F.col(named(f.col)), _literal(f.value)
@@ -44,31 +46,48 @@ def _small(spec: QuerySpec, catalog, c: Col, rows: int) -> bool:
     return known is not None and known[1] * rows < LONG_LIMIT
 
 
-def rows_bound(spec: QuerySpec, catalog, classes: Classes) -> int:
-    """An upper bound of the join's rows: a relation joined by a unique column adds none."""
-    stats = [catalog.statistics(r) for r in spec.relations]
-    keys: dict[int, list[set[int]]] = {b: [] for b in range(len(stats))}  # bindings that fix a row of b by a unique column
+def rows_bound(spec: QuerySpec, catalog, classes: Classes, subset: frozenset[int] | None = None) -> int:
+    """An upper bound of the rows that the bindings in ``subset`` (all, if None) join to.
+
+    A row of one relation fixes a row of another where they join by a unique
+    column of the other's.  The bound is the least product of rows over sets of
+    bindings that fix all others; beyond 12 bindings, of the set left when each
+    binding that another one fixes is taken out in turn.
+    """
+    subset = subset or frozenset(range(len(spec.relations)))
+    stats = {b: catalog.statistics(spec.relations[b]) for b in subset}
+    fixes: dict[int, set[int]] = {b: set() for b in subset}  # b -> bindings that one row of b fixes
     for members in classes.members().values():
         for c in members:
-            if stats[c.binding].unique[c.position]:
-                keys[c.binding].append({x.binding for x in members} - {c.binding})
-    fixed = {b for b in keys if not keys[b]}
-    bound = 1
-    for b in fixed:
-        bound *= max(stats[b].rows, 1)
-    left = set(keys) - fixed
-    while left:
-        b = next((b for b in sorted(left) if any(k & fixed for k in keys[b])), None)
-        if b is None:
-            b = min(left, key=lambda x: stats[x].rows)
-            bound *= max(stats[b].rows, 1)
-        left.remove(b)
-        fixed.add(b)
-    return bound
+            if c.binding in subset and stats[c.binding].unique[c.position]:
+                for x in members:
+                    if x.binding in subset and x.binding != c.binding:
+                        fixes[x.binding].add(c.binding)
+
+    def covers(chosen: tuple[int, ...] | set[int]) -> bool:
+        seen, todo = set(chosen), list(chosen)
+        while todo:
+            for x in fixes[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        return len(seen) == len(subset)
+
+    size = lambda chosen: prod(max(stats[b].rows, 1) for b in chosen)
+    if len(subset) > 12:
+        chosen = set(subset)
+        for b in sorted(subset, key=lambda b: -stats[b].rows):
+            if covers(chosen - {b}):
+                chosen.remove(b)
+        return size(chosen)
+    return min(size(chosen) for k in range(1, len(subset) + 1) for chosen in combinations(sorted(subset), k) if covers(chosen))
 
 
 def naive(spec: QuerySpec, catalog, order: list[int] | None = None, hint: str | None = None) -> DataFrame:
-    """Joins in a connected order, then the sums: one row s0, s1, ..."""
+    """Joins in a connected order, then the sums: one row s0, s1, ...
+
+    A broadcast hint is given only to sides of at most ``BROADCAST_BYTES`` before
+    their filters, so it can't outgrow the executors; beyond, the engine chooses.
+    """
     classes = Classes(spec.joins)
     order = order or order_bindings(spec, catalog)
     df = scan(spec, catalog, order[0], classes)
@@ -81,7 +100,8 @@ def naive(spec: QuerySpec, catalog, order: list[int] | None = None, hint: str |
             here = next((c for c in members if c.binding == b), None)
             if left is not None and here is not None:
                 on.append(F.col(named(left)) == F.col(named(here)))
-        df = df.join(right.hint(hint) if hint else right, on, "inner")
+        small = hint != "broadcast" or 8 * len(right.columns) * catalog.statistics(spec.relations[b]).rows <= BROADCAST_BYTES
+        df = df.join(right.hint(hint) if hint and small else right, on, "inner")
         joined.add(b)
     rows = rows_bound(spec, catalog, classes)
     return df.agg(*[total(F.col(named(c)), _small(spec, catalog, c, rows)).alias(f"s{k}") for k, c in enumerate(spec.selections)])
@@ -121,7 +141,9 @@ def factorized(spec: QuerySpec, catalog) -> DataFrame | None:
 
     With n the number of joined rows a row stands for and s_k the sum of
     selection k over them, joining a message (n', s') makes n*n', s_k*n' and
-    n*s'.  None where the join graph is cyclic.
+    n*s'.  A count or sum over a set of bindings is a long where the rows that
+    they join to, times the column's maximum, stay below 2^63, else a decimal
+    modulo 2^64.  None where the join graph is cyclic.
     """
     classes = Classes(spec.joins)
     stats = [catalog.statistics(r) for r in spec.relations]
@@ -129,51 +151,83 @@ def factorized(spec: QuerySpec, catalog) -> DataFrame | None:
     tree = join_tree(spec, classes, root)
     if tree is None:
         return None
-    bound = 1
-    for s in stats:
-        bound *= max(s.rows, 1)
-    tight = rows_bound(spec, catalog, classes)
-    small = all(_small(spec, catalog, c, bound) for c in spec.selections) and bound < LONG_LIMIT
-    if not small and all(any(s.unique) for s in stats):
-        small = all(_small(spec, catalog, c, tight) for c in spec.selections)
-    mult = (lambda a, b: a * b) if small else times
-    keep = (lambda c: c.cast("long")) if small else wide
-    add = (lambda c: F.sum(c)) if small else (lambda c: wrap(F.sum(c.cast("decimal(28,0)"))))
-
-    def visit(b: int, parent: int | None) -> tuple[DataFrame, list[int], list[Col]]:
-        df = scan(spec, catalog, b, classes)
+
+    def fits(subset: frozenset[int], k: int | None = None) -> bool:
+        """Whether the count, or selection k's sum, over the subset's joined rows is below 2^63."""
+        rows = rows_bound(spec, catalog, classes, subset)
+        return rows < LONG_LIMIT and (k is None or _small(spec, catalog, spec.selections[k], rows))
+
+    def times_(a: Column, b: Column, small: bool, longs: bool) -> Column:
+        return a * b if small and longs else times(a, b).cast("long") if small else times(a, b)
+
+    def sum_(c: Column, small: bool, is_long: bool) -> Column:
+        if small and is_long:
+            return F.sum(c)
+        whole = wrap(F.sum(c.cast("decimal(28,0)")))
+        return whole.cast("long") if small else whole
+
+    def visit(b: int, parent: int | None) -> tuple[DataFrame, frozenset[int], dict[str, bool], list[Col]]:
+        """(rows, bindings in them, whether each of n, s0, ... is a long, keys upward)."""
         mine = [k for k, c in enumerate(spec.selections) if c.binding == b]
         own_keys = {root_: next(c for c in m if c.binding == b) for root_, m in classes.members().items() if any(c.binding == b for c in m)}
-        up = []
-        if parent is not None:
-            up = [r for r, c in own_keys.items() if any(x.binding == parent for x in classes.members()[r])]
-        df = df.select("*", keep(F.lit(1)).alias("n"), *[keep(F.col(named(spec.selections[k]))).alias(f"s{k}") for k in mine])
-        have = list(mine)
+        up = [r for r, c in own_keys.items() if any(x.binding == parent for x in classes.members()[r])] if parent is not None else []
+        covered = frozenset([b])
+        longs = {"n": True} | {f"s{k}": fits(covered, k) for k in mine}
+        ready = _stored_message(spec, catalog, b, classes, mine, own_keys, up) if parent is not None and not tree.children[b] and all(longs.values()) else None
+        if ready is not None:
+            return ready, covered, longs, up
+        df = scan(spec, catalog, b, classes)
+        df = df.select("*", F.lit(1).cast("long").alias("n"), *[(F.col(named(spec.selections[k])).cast("long") if longs[f"s{k}"] else wide(F.col(named(spec.selections[k])))).alias(f"s{k}") for k in mine])
         for child in tree.children[b]:
-            message, sums, keys = visit(child, b)
+            message, below, theirs, keys = visit(child, b)
             on = [F.col(named(own_keys[r])) == F.col(f"m{child}_{i}") for i, r in enumerate(keys)]
             df = df.join(message, on, "inner")
+            covered |= below
+            sums = [c for c in theirs if c != "n"]
+            rest = [c for c in df.columns if c not in longs and c not in sums and not c.startswith(f"m{child}_")]
             count, other = F.col("n"), F.col(f"m{child}_n")
-            rest = [c for c in df.columns if c not in {"n", f"m{child}_n", *(f"s{k}" for k in [*have, *sums])} and not c.startswith(f"m{child}_")]
-            df = df.select(*rest, mult(count, other).alias("n"), *[mult(F.col(f"s{k}"), other).alias(f"s{k}") for k in have], *[mult(F.col(f"s{k}"), count).alias(f"s{k}") for k in sums])
-            have += sums
+            now = {"n": fits(covered)} | {s: fits(covered, int(s[1:])) for s in [*longs, *sums] if s != "n"}
+            products = [times_(count, other, now["n"], longs["n"] and theirs["n"]).alias("n")]
+            products += [times_(F.col(s), other, now[s], longs[s] and theirs["n"]).alias(s) for s in longs if s != "n"]
+            products += [times_(F.col(s), count, now[s], theirs[s] and longs["n"]).alias(s) for s in sums]
+            df, longs = df.select(*rest, *products), now
         if parent is None:
-            return df, have, []
+            return df, covered, longs, []
         keys = [F.col(named(own_keys[r])).alias(f"m{b}_{i}") for i, r in enumerate(up)]
-        grouped = df.groupBy(*keys).agg(add(F.col("n")).alias(f"m{b}_n"), *[add(F.col(f"s{k}")).alias(f"s{k}") for k in have])
-        return grouped, have, up
+        # a message's sums are over the same bindings, so they are longs where their summands are
+        grouped = df.groupBy(*keys).agg(*[sum_(F.col(c), small, small).alias(f"m{b}_n" if c == "n" else c) for c, small in longs.items()])
+        return grouped, covered, longs, up
+
+    df, covered, longs, _ = visit(root, None)
+    return df.agg(*[sum_(F.col(f"s{k}"), longs[f"s{k}"], longs[f"s{k}"]).alias(f"s{k}") for k in range(len(spec.selections))])
+
 
-    df, _, _ = visit(root, None)
-    return df.agg(*[add(F.col(f"s{k}")).alias(f"s{k}") for k in range(len(spec.selections))])
+def _stored_message(spec: QuerySpec, catalog, b: int, classes: Classes, mine: list[int], own_keys: dict[Col, Col], up: list[Col]) -> DataFrame | None:
+    """A leaf's message from the catalog's stored counts and sums per key, where it keeps them and nothing filters the leaf."""
+    filtered = any(f.col.binding == b for f in spec.filters) or any(sum(c.binding == b for c in m) > 1 for m in classes.members().values())
+    if filtered or len(up) != 1 or len(own_keys) != 1:
+        return None
+    stored = catalog.aggregated(spec.relations[b], own_keys[up[0]].position)
+    if stored is None:
+        return None
+    return stored.select(F.col("key").alias(f"m{b}_0"), F.col("n").alias(f"m{b}_n"), *[F.col(f"sum_c{spec.selections[k].position}").alias(f"s{k}") for k in mine])
 
 
 def worth_factorizing(spec: QuerySpec, catalog) -> bool:
-    """Whether two joined sides have two rows or more a key on average: then joined rows outnumber the keys."""
+    """Whether two joined sides may join to over twice the rows they have.
+
+    Joined rows are at most the root of the product of both sides' sums of
+    squared rows a key, which a skewed key drives up whatever the mean is.  The
+    squares are counted once a column, and only where neither side is unique.
+    """
     classes = Classes(spec.joins)
     for members in classes.members().values():
-        many = {c.binding for c in members if (s := catalog.statistics(spec.relations[c.binding])).rows >= 2 * max(s.distinct[c.position], 1)}
-        if len(many) >= 2:
-            return True
+        many = [c for c in members if not catalog.statistics(spec.relations[c.binding]).unique[c.position]]
+        for x, y in combinations(many, 2):
+            if x.binding != y.binding:
+                joined = sqrt(catalog.squares(spec.relations[x.binding], x.position)) * sqrt(catalog.squares(spec.relations[y.binding], y.position))
+                if joined > 2 * (catalog.statistics(spec.relations[x.binding]).rows + catalog.statistics(spec.relations[y.binding]).rows):
+                    return True
     return False
 
 

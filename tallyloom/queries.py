@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog
 from .operators import columns as ops
+from .operators import layout
 from .plans.build import plan_query
 from .plans.spec import parse_query
 from .session import result_line
+from .sources import files
+from .sources.shared import file_marks, fresh_path
 
 #: Relation number = position; the integral columns of each table.
 TABLES = [
@@ -30,7 +34,7 @@ TABLES = [
     ("pages", ["page_id"]),
     ("benchmark", ["item_id"]),
 ]
-_catalogs: dict[tuple[int, str], Catalog] = {}
+_catalogs: dict[tuple[str, str], tuple[tuple, Catalog]] = {}
 
 
 def relation(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
@@ -39,14 +43,15 @@ def relation(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The tables of a folder, loaded once a session, with statistics as they are asked for."""
-    key = (id(spark), sf_dir)
-    if key not in _catalogs:
+    """The tables of a folder, with statistics as they are asked for; loaded anew where a file has changed."""
+    marks = tuple(m for name, _ in TABLES for m in file_marks(spark, f"{sf_dir}/{name}.parquet"))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _catalogs or _catalogs[key][0] != marks:
         found = Catalog(spark)
         for number in range(len(TABLES)):
             found.register(number, relation(spark, sf_dir, number), view=False)
-        _catalogs[key] = found
-    return _catalogs[key]
+        _catalogs[key] = (marks, found)
+    return _catalogs[key][1]
 
 
 #: name -> (query, strategy, rewrite, hint)
@@ -118,6 +123,40 @@ def _result_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("query", F.lit(0)).unionByName(two.withColumn("query", F.lit(1)))
 
 
+def _written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through the binary format: written as files of their own columns, read back with two columns and a filter."""
+    path = fresh_path(spark, "binary").removeprefix("file://")
+    files.write_binary_parts(relation(spark, sf_dir, 5), path, part_rows=5_000)
+    return files.read_binary(spark, path, columns=[0, 1]).where("c0 > 100 AND c0 < 4000").select("c1", "c0")
+
+
+def _delimited_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "delimited")
+    files.write_delimited(relation(spark, sf_dir, 2), path)
+    return files.read_delimited(spark, path, 2)
+
+
+def _sorted_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem stored along its first key with a Bloom filter on the second: a range and a point filter."""
+    stored = layout.write_sorted(relation(spark, sf_dir, 6), fresh_path(spark, "sorted"), "c0", ("c1",), files=8)
+    return stored.where("c0 > 1000 AND c0 < 1400").select(F.lit("range").alias("filter"), "c0", "c1", "c3").unionByName(stored.where("c1 = 77").select(F.lit("point").alias("filter"), "c0", "c1", "c3"))
+
+
+def _bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem and orders in buckets of the order key: joined and grouped without a shuffle."""
+    left, right = (layout.write_bucketed(relation(spark, sf_dir, n), f"tallyloom_bucketed_{uuid.uuid4().hex}", "c0", 8, fresh_path(spark, "bucketed")) for n in (6, 5))
+    return left.alias("l").join(right.alias("o"), F.col("l.c0") == F.col("o.c0")).groupBy(F.col("o.c0").alias("key")).agg(F.count("*").alias("n"), F.sum("l.c1").alias("parts"))
+
+
+def _stored_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A many-to-many join answered from counts and sums a key that the catalog keeps."""
+    found = Catalog(spark, reuse=True)
+    for number in range(len(TABLES)):
+        found.register(number, relation(spark, sf_dir, number), view=False)
+    df = plan_query(parse_query("2 3|0.1=1.1|0.0 1.0"), found, "factorized")
+    return df.select(*[F.col(c).cast("long").alias(c) for c in df.columns])
+
+
 def _statistics_sql() -> str:
     parts = [f"SELECT 'c{k}' AS \"column\", count(*) AS rows, min(c{k}) AS low, max(c{k}) AS high, count(DISTINCT c{k}) AS distinct_values FROM r6" for k in range(4)]
     return f"SELECT *, rows = distinct_values AS is_unique, high - low + 1 AS domain, CAST(high - low + 1 AS DOUBLE) / distinct_values AS spread FROM ({' UNION ALL '.join(parts)})"
@@ -137,6 +176,12 @@ HELPERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "semi_join_reduction": (lambda s, d: ops.semi_reduce(relation(s, d, 5), "c1", relation(s, d, 2).where("c1 = 3"), "c0").select("c0", "c1"), "SELECT c0, c1 FROM r5 WHERE c1 IN (SELECT c0 FROM r2 WHERE c1 = 3)"),
     "counted_relation": (lambda s, d: ops.counted(relation(s, d, 6), ["c2", "c3"]), "SELECT c2, c3, count(*) AS n FROM r6 GROUP BY 1, 2"),
     "range_partitions": (lambda s, d: ops.range_partitions(relation(s, d, 6), "c0", 8), "WITH b AS (SELECT min(c0) AS lo, greatest(1, (max(c0) - min(c0) + 8) // 8) AS w FROM r6) SELECT (c0 - lo) // w AS part, min(c0) AS low, max(c0) AS high, count(*) AS rows FROM r6, b GROUP BY 1"),
+    "binary_round_trip": (_written_and_read, "SELECT c1, c0 FROM r5 WHERE c0 > 100 AND c0 < 4000"),
+    "delimited_round_trip": (_delimited_and_read, "SELECT c0, c1 FROM r2"),
+    "sorted_layout": (_sorted_layout, "SELECT 'range' AS filter, c0, c1, c3 FROM r6 WHERE c0 > 1000 AND c0 < 1400 UNION ALL SELECT 'point', c0, c1, c3 FROM r6 WHERE c1 = 77"),
+    "bucketed_join": (_bucketed_join, "SELECT y.c0 AS key, count(*) AS n, CAST(sum(x.c1) AS BIGINT) AS parts FROM r6 x, r5 y WHERE x.c0 = y.c0 GROUP BY 1"),
+    "stored_aggregates": (_stored_aggregates, "SELECT CAST(sum(x.c0) AS BIGINT) AS s0, CAST(sum(y.c0) AS BIGINT) AS s1 FROM r2 x, r3 y WHERE x.c1 = y.c1"),
+    "compressed_columns": (lambda s, d: layout.compressed(relation(s, d, 6).where("c0 < 500")).select("c0", "c3"), "SELECT CAST(c0 AS SMALLINT) AS c0, CAST(c3 AS TINYINT) AS c3 FROM r6 WHERE c0 < 500"),
     "result_lines": (_result_line, "SELECT concat_ws(' ', coalesce(CAST(a AS VARCHAR), 'NULL'), coalesce(CAST(b AS VARCHAR), 'NULL')) AS value, query FROM (SELECT sum(x.c1) AS a, sum(y.c1) AS b, 0 AS query FROM r6 x, r5 y WHERE x.c0 = y.c0 UNION ALL SELECT sum(x.c1), sum(y.c1), 1 FROM r6 x, r5 y WHERE x.c0 = y.c0 AND x.c0 > 1000000000)"),
 }
 
