@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import re
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,24 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The session's ``spark.checkpoint.dir`` is used as the cluster names it, else a
-    folder set by ``setCheckpointDir``.  Only in local mode, where every folder is
-    shared, one beside the warehouse is set; a cluster that names none is refused.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from ..sources.shared import delete_path, fresh_path
 
 
 def modest_batches(spark: SparkSession) -> None:
@@ -84,7 +65,7 @@ def few_files(df: DataFrame, rows: int, rows_a_file: int = 250_000) -> DataFrame
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tallyloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyloom_path = path
@@ -97,12 +78,7 @@ def discard(*frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once nothing reads them any more."""
     for df in frames:
         if path := getattr(df, "_tallyloom_path", None):
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete_path(df.sparkSession, path)
 
 
 def local_rows(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:

@@ -20,7 +20,6 @@ extra columns are dropped; an empty table gives no blocks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_rows, materialize, narrowed, shared_dir, slices, texts_of, tidy, tokenizer_path
+from ..sources.shared import fresh_path
+from .common import local_rows, materialize, narrowed, slices, texts_of, tidy, tokenizer_path
 from .range_coder import decode_block, encode_block
 from .token_ids import id_table
 
@@ -171,4 +171,4 @@ def document_checksums(pieces: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession) -> str:
     """A fresh folder for a dataset in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tallyloom/ids-{uuid.uuid4().hex}"
+    return fresh_path(spark, "ids")
