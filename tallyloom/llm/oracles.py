@@ -54,7 +54,7 @@ pieces AS (
   SELECT doc_id, n, p, substr(h, 2 * p + 1, 1200) AS piece FROM (SELECT doc_id, h, n, unnest(range(0, n, 500)) AS p FROM raw)
 ),
 windows AS (
-  SELECT doc_id, p + o AS start, hash(substr(piece, 2 * o + 1, 200)) AS w
+  SELECT doc_id, p + o AS start, md5(substr(piece, 2 * o + 1, 200)) AS w
   FROM (SELECT doc_id, n, p, piece, unnest(range(0, 500)) AS o FROM pieces)
   WHERE p + o + 100 <= n
 ),

@@ -29,7 +29,7 @@ surroundings - is split by its contexts: a window with ``room`` bytes beside the
 anchor holds half of them on its right or on its left, so each stretch goes on
 under the anchor lengthened by that many bytes to the right, and again to the
 left, cut to the windows concerned; all places of a window take the same way.
-Equal cuts are collapsed to the first, and groups that are still too large are
+Equal cuts (with the anchor in the same place) are collapsed to the first, and groups that are still too large are
 split again, until after seven rounds a group is one string.  The work is linear
 in the anchor's stretches, and no group in a task is larger than ``block``.
 
@@ -321,10 +321,10 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
         if crowded.isEmpty():
             break
         wider = materialize(_by_context(live.join(crowded, "key", "left_semi"), core, room), "repeats-contexts")
-        firsts = materialize(wider.groupBy("key", "raw").agg(F.min(F.struct("doc", "start", "at")).alias("f")), "repeats-firsts")
+        firsts = materialize(wider.groupBy("key", "at", "raw").agg(F.min(F.struct("doc", "start")).alias("f")), "repeats-firsts")
         made += [wider, firsts]
-        again.append(wider.join(firsts, ["key", "raw"]).where((F.col("doc") != F.col("f.doc")) | (F.col("start") != F.col("f.start"))).select("doc", "start", F.length("raw").cast("long").alias("size")))
-        live = firsts.select("key", "f.*", "raw")
+        again.append(wider.join(firsts, ["key", "at", "raw"]).where((F.col("doc") != F.col("f.doc")) | (F.col("start") != F.col("f.start"))).select("doc", "start", F.length("raw").cast("long").alias("size")))
+        live = firsts.select("key", "f.*", "at", "raw")
         core, room = core + (room + 1) // 2, room // 2
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -279,8 +279,11 @@ def test_repeats(spark):
     line = "".join(RNG.choice(letters) for _ in range(60))  # one line in many surroundings, some of them shared
     texts += [(100 + i, "".join(RNG.choice("ab") for _ in range(90)) + line[: RNG.randrange(40, 61)] + passage[: RNG.choice([0, 20, 45])] + "".join(RNG.choice("cd") for _ in range(90))) for i in range(60)]
     texts += [(50, "ab" * 300), (51, "x" * 450), (52, None), (53, ""), (54, texts[3][1]), (55, texts[3][1][:99])]
+    # lines that repeat with a period, cut anywhere: anchors that stand in several places of a stretch
+    beat = [(line[:30] * 12, line[5:14] * 40, "xy" * 150 + line[:7])[i % 3] for i in range(45)]
+    texts += [(200 + i, "".join(RNG.choice("pq") for _ in range(RNG.randrange(40))) + b[RNG.randrange(40) : RNG.randrange(150, 330)] + "".join(RNG.choice("rs") for _ in range(RNG.randrange(60)))) for i, b in enumerate(beat)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    for block in (3000, 4):
+    for block in (3000, 4, 1):
         got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(df, block=block, shard_bytes=4000).collect()}
         assert got == brute_removed(texts, 100)
     twice = spark.createDataFrame([(None, "q" * 120), (1, passage), (1, passage)], "doc_id long, text string")
