@@ -17,10 +17,16 @@ most three characters around them, so they come from array comparisons.
 *Parallel run.*  Texts are cut into chunks of ``CHUNK`` bytes anywhere, inside
 words as well.  All chunks of a batch run in lock-step through the dense
 transition table, each from the start state at its first boundary, which fixes
-its exit state.  The heads before first boundaries then run from the exit state
-of the chunk before, again in lock-step; no state maps are composed, so a run of
-k chunks without a boundary takes k rounds one after the other.  A document's
-count is the segmented sum.
+its exit state.  The head before a first boundary is a map (entry state -> exit
+state, count).  A chunk without a boundary is all head, so its map is only
+tabulated at the states that can enter it: the exits of the chunk before, from
+the states that can enter that one, and from the start state as a first guess;
+text forgets its entry after a few bytes, so this closes after two rounds, and
+after as many as the period has states where a long run repeats.  The maps of
+neighbouring chunks are then composed by doubling, as in a prefix scan, which
+gives each chunk the entry it really has in logarithmically many steps.  Runs
+whose maps don't close within ``MAP_STATES`` states a chunk are walked chunk by
+chunk.  A document's count is the segmented sum.
 
 The dense table is bounded: beyond ``max_states`` it is flushed and grows anew,
 as lazy automata do.  No shuffle, so no key can be hot; one very long text is
@@ -43,6 +49,8 @@ from pyspark.sql import DataFrame
 from .common import narrowed, slices, tidy, tokenizer_path, utf8_of
 
 CHUNK = 512
+MAP_STATES = 64
+PAIRS = 2_000_000  # remembered answers of CountTransducer.stays
 LETTER, NUMBER, SPACE, WHITE, OTHER = 1, 2, 3, 4, 5
 _compiled: dict[str, "CountTransducer"] = {}
 
@@ -119,6 +127,8 @@ class CountTransducer:
         """Whether BPE leaves ``token`` whole after ``last`` (-1: at the start of a pre-token)."""
         known = self.pairs.get((last, token))
         if known is None:
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
             raw = (self.bytes_of[last] if last >= 0 else b"") + self.bytes_of[token]
             known = self.pairs[last, token] = self.merged([self.single[b] for b in raw]) == ([last, token] if last >= 0 else [token])
         return known
@@ -236,6 +246,54 @@ class CountTransducer:
         out[at[start]] = True
         return out
 
+    # ---- heads of chunks -----------------------------------------------
+    def _heads(self, data: np.ndarray, resets: np.ndarray, starts: np.ndarray, opens: np.ndarray, ends: np.ndarray, exits: np.ndarray, counts: np.ndarray) -> None:
+        """Add the tokens of what stands before chunks' first boundaries to ``counts``."""
+        head = opens > starts
+        waiting = np.flatnonzero(head)
+        if not len(waiting):
+            return
+        through = head & (opens == ends)
+        after_through = through[waiting - 1]  # the entry is what a chunk without boundary makes of its own
+        goes_on = np.zeros(len(starts), bool)
+        goes_on[:-1] = through[:-1] & head[1:]
+        first = waiting[~after_through]
+        entries = (first << 32) | exits[first - 1]
+        guesses = np.flatnonzero(goes_on) << 32  # from the start state
+        known, out, extra = (np.zeros(0, np.int64) for _ in range(3))
+        fresh = np.union1d(entries, guesses)
+        while len(fresh):
+            if len(known) + len(fresh) > MAP_STATES * len(waiting) + 1024:
+                self._walk_heads(data, resets, starts, opens, waiting, through, exits, counts)
+                return
+            chunk = fresh >> 32
+            to, n = self.run(data, resets, starts[chunk], opens[chunk], fresh & 0xFFFFFFFF)
+            known, out, extra = np.concatenate([known, fresh]), np.concatenate([out, to]), np.concatenate([extra, n])
+            more = goes_on[chunk]
+            fresh = np.setdiff1d((chunk[more] + 1) << 32 | to[more], known)
+        order = np.argsort(known)
+        known, out, extra = known[order], out[order], extra[order]
+        chunk, end = known >> 32, len(known)
+        # each map's entry leads to an entry of the next chunk's map, or to the end; doubled until all lead to the end
+        jump = np.append(np.where(goes_on[chunk], np.searchsorted(known, (chunk + 1) << 32 | out), end), end)
+        real = np.zeros(end + 1, bool)
+        real[np.searchsorted(known, entries)] = True
+        while (jump[real] != end).any():
+            real[jump[real]] = True
+            jump = jump[jump]
+        np.add.at(counts, chunk[real[:-1]], extra[real[:-1]])
+
+    def _walk_heads(self, data: np.ndarray, resets: np.ndarray, starts: np.ndarray, opens: np.ndarray, waiting: np.ndarray, through: np.ndarray, exits: np.ndarray, counts: np.ndarray) -> None:
+        """The same, from the exit state of the chunk before, one after the other in each run."""
+        ready = ~through
+        while len(waiting):
+            go = waiting[ready[waiting - 1]]
+            out, extra = self.run(data, resets, starts[go], opens[go], exits[go - 1])
+            counts[go] += extra
+            exits[go] = np.where(through[go], out, exits[go])
+            ready[go] = True
+            waiting = waiting[~np.isin(waiting, go)]
+
     # ---- documents -----------------------------------------------------
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each document data[offsets[i]:offsets[i+1]]."""
@@ -253,17 +311,7 @@ class CountTransducer:
         marks = np.append(np.flatnonzero(resets), len(data))
         opens = np.minimum(marks[np.searchsorted(marks, starts)], ends)  # first boundary in the chunk, or its end
         exits, counts = self.run(data, resets, opens, ends, np.zeros(len(owner), np.int64))
-        # heads run from the exit state of the chunk before
-        waiting = np.flatnonzero(opens > starts)
-        through = opens == ends
-        ready = ~(through & (opens > starts))
-        while len(waiting):
-            go = waiting[ready[waiting - 1]]
-            out, extra = self.run(data, resets, starts[go], opens[go], exits[go - 1])
-            counts[go] += extra
-            exits[go] = np.where(through[go], out, exits[go])
-            ready[go] = True
-            waiting = waiting[~np.isin(waiting, go)]
+        self._heads(data, resets, starts, opens, ends, exits, counts)
         total = np.zeros(len(sizes), np.int64)
         np.add.at(total, owner, counts)
         return total

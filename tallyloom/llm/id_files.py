@@ -37,7 +37,7 @@ PIECES = "docs array<long>, sizes array<int>, ends array<boolean>"
 BLOCK = f"file int, block int, before long, first_doc long, first_offset long, n_ids long, {PIECES}, payload binary"
 
 
-def write_ids(df: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 20) -> None:
+def write_ids(df: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 21) -> None:
     """Encode every whole text, append ``end_id`` and write the dataset at ``path``."""
     source = narrowed(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import narrowed, slices, texts_of, tidy, tokenizer_path
-from .token_ids import id_table
+from .token_ids import forget_table, id_table
 
 STRIDE = 256
 
@@ -78,10 +78,10 @@ def choose_cuts(ends: np.ndarray, penalties: np.ndarray, length: int) -> list[in
 class Packer:
     """Feeds documents' ids in order; yields batches of pieces."""
 
-    def __init__(self, sentence_ids: np.ndarray, first_sequence: int, length: int = 4096, sentence_penalty: float = 2.0, split_penalty: float = 32.0, horizon: int = 1 << 20):
+    def __init__(self, sentence_ids: np.ndarray, first_sequence: int, length: int = 4096, sentence_penalty: float = 2.0, split_penalty: float = 32.0, horizon: int = 1 << 20, vocabulary: int = 1 << 17):
         self.length, self.horizon, self.sentence_penalty, self.split_penalty = length, horizon, sentence_penalty, split_penalty
         self.stride = min(STRIDE, length)
-        self.closes = np.zeros(1 << 17, bool)
+        self.closes = np.zeros(vocabulary, bool)
         self.closes[sentence_ids] = True
         self.next_sequence = first_sequence
         self.docs: list = []  # (id, start of what is held, whole size)
@@ -140,8 +140,8 @@ class Packer:
 def pack_documents(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", sentence_penalty: float = 2.0, split_penalty: float = 32.0, table_size: int = 500_000, keep_table: bool = True) -> DataFrame:
     """Pieces (id, start, length, doc_tokens, sequence_id, offset, ids binary: little-endian uint32), in order inside each sequence.
 
-    A worker's table of known words outlives its tasks unless ``keep_table`` is
-    false, which frees its memory and costs about twice the tokenizing time.
+    A worker's vocabulary and table of known words outlive its tasks unless
+    ``keep_table`` is false, which frees their memory for what else a session does.
     """
     source = narrowed(df, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
@@ -152,7 +152,7 @@ def pack_documents(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
         table = id_table(path, size=table_size)
         vocab = json.load(open(path))["model"]["vocab"]
         closing = np.asarray([i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in {".", "!", "?"}], np.int64)
-        packer = Packer(closing, TaskContext.get().partitionId() << 36, length, sentence_penalty, split_penalty)
+        packer = Packer(closing, TaskContext.get().partitionId() << 36, length, sentence_penalty, split_penalty, vocabulary=1 + max(end_id, *vocab.values(), *table.library.get_vocab().values()))
         end = np.asarray([end_id], table.dtype).tobytes()
         id_type = None
 
@@ -178,6 +178,6 @@ def pack_documents(df: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
                         yield from emit(False)
         yield from emit(True)
         if not keep_table:
-            table.clear()
+            forget_table(path)
 
     return source.mapInArrow(tidy(run), f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

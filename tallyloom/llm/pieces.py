@@ -5,7 +5,7 @@ a text is a row of *marked words* (markers, then other characters) that are
 segmented independently.  Each task keeps a table of the distinct marked words
 it met: the library segments each once, and a text's ids are the table's
 entries joined back in order of position.  The table is bounded
-(``table_size`` entries, then it starts anew), needs no shuffle, and a hot
+(``table_size`` entries and 16 million characters, then it starts anew), needs no shuffle, and a hot
 source or a repeated passage only makes it hit more often.
 
 Models with a piece that crosses a marker are encoded whole by the library.
@@ -31,14 +31,14 @@ _loaded: dict[tuple[str, int], "ChunkTable"] = {}
 
 
 class ChunkTable:
-    """Distinct marked words and their ids, packed as int32."""
+    """Distinct marked words and their ids, packed as int32; bounded in entries and in characters."""
 
-    def __init__(self, path: str, table_size: int = 400_000):
+    def __init__(self, path: str, table_size: int = 400_000, table_chars: int = 16 << 20):
         import numpy as np
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.np, self.size, self.known = np, table_size, {}
+        self.np, self.size, self.chars, self.known, self.held = np, table_size, table_chars, {}, 0
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         # a dummy marker stands before every text; without that or with other whitespace rules, texts go whole
@@ -47,12 +47,16 @@ class ChunkTable:
         self.alone = self.model.piece_to_id(MARK)
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.size:
-            self.known = {}
+        if self._full(chunks):
+            self.known, self.held = {}, 0
+        self.held += sum(map(len, chunks))
         # the library puts the marker before a text itself, so it gets the marked word without its first marker
         for chunk, ids in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1)):
             self.known[chunk] = self.np.asarray(ids if len(chunk) > 1 else [self.alone], dtype=self.np.int32).tobytes()
 
+    def _full(self, chunks) -> bool:
+        return len(self.known) + len(chunks) > self.size or self.held + sum(map(len, chunks)) > self.chars
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
             return [self.np.asarray(x, dtype=self.np.int32).tobytes() for x in self.model.encode(texts, num_threads=1)]
@@ -62,7 +66,7 @@ class ChunkTable:
             part = rows[at : at + 512]
             found = [list(map(self.known.get, row)) for row in part]
             if fresh := {c for row, ids in zip(part, found) if None in ids for c, x in zip(row, ids) if x is None}:
-                if len(self.known) + len(fresh) > self.size:
+                if self._full(fresh):
                     fresh = {c for row in part for c in row}
                 self._learn(list(fresh))
                 found = [ids if None not in ids else list(map(self.known.get, row)) for row, ids in zip(part, found)]

@@ -8,8 +8,10 @@ so far: candidates after each step, probabilities and weights every few.
 An id is predicted by order 2 (what followed the last two ids, a hashed table of
 candidates with confidences), order 1 (what followed the last id) and order 0
 (frequencies).  Whether the order-2 and then the order-1 candidate is right is
-predicted by mixing: each predictor's probability is stretched, weighted, summed
-and squashed, and the weights follow the coding error.  The interval of an id is
+predicted by mixing the three orders: what order 2's confidence says, what order
+1's says, and how often ids as frequent as the candidate (order 0, in four
+classes) came when proposed.  Each probability is stretched, weighted, summed and
+squashed, and the weights follow the coding error.  The interval of an id is
 [order-2 hit | order-1 hit | order-0 share].  All model arithmetic is on
 integers, so every machine decodes alike.
 
@@ -25,7 +27,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TLR2"
+MAGIC = b"TLR3"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, steps, vocabulary, crc of the ids, crc of the header so far and of what follows
 TOTAL_BITS, ZERO_BITS, SLOT_BITS = 26, 18, 18
 _ZERO = 1 << ZERO_BITS
@@ -33,6 +35,10 @@ _U = np.uint64
 _WORD, _LOW_WORD, _FULL = _U(32), _U((1 << 32) - 1), _U(1 << 32)
 #: Steps between updates of probabilities and weights, and of the frequencies.
 MIX_STEPS, ZERO_STEPS = 4, 16
+#: A context of the mixer: order-0 class of the order-2 candidate (four) and of the order-1 candidate (two), both confidences, whether they are the same.
+CONTEXTS = 1 << 10
+#: Shares of 2^18 that part the order-0 classes.
+CLASSES = (2, 16, 128)
 
 
 class CorruptBlock(ValueError):
@@ -96,10 +102,13 @@ class Model:
         self.after1 = np.full(vocabulary, -8, np.int32)
         self.after2 = np.full(1 << SLOT_BITS, -8, np.int32)
         self.last1 = self.last2 = np.zeros(lanes, np.int64)
-        self.q2, self.q1, self.j2, self.r1, self.j1 = _Counter(8), _Counter(16), _Counter(128), _Counter(8), _Counter(128)
-        self.m2, self.m1 = _Mixer(3), _Mixer(2)
-        c = np.arange(128)
-        self.c2, self.c1, self.same = c >> 4, (c >> 1) & 7, c & 1
+        self.q2, self.q1, self.q0, self.j2 = _Counter(8), _Counter(16), _Counter(8), _Counter(128)
+        self.r1, self.r0, self.j1 = _Counter(8), _Counter(2), _Counter(128)
+        self.m2, self.m1 = _Mixer(4), _Mixer(3)
+        c = np.arange(CONTEXTS)
+        self.f2, self.f1, self.j = c >> 8, (c >> 7) & 1, c & 127
+        self.c2, self.c1, self.same = (c >> 4) & 7, (c >> 1) & 7, c & 1
+        self.as1, self.as0 = self.c1 * 2 + self.same, self.f2 * 2 + self.same
         self.keys: list[np.ndarray] = []
         self.step = 0
         self._zero()
@@ -120,6 +129,8 @@ class Model:
         self.cdf = np.zeros(self.v + 1, np.int64)
         np.cumsum(share, out=self.cdf[1:])
         self.share = share
+        classes = np.digitize(share, CLASSES).astype(np.int32)
+        self.level2, self.level1 = classes << 8, (classes >> 1) << 7  # where a candidate's class stands in a context
         self.inverse = None
 
     def symbol(self, y: np.ndarray) -> np.ndarray:
@@ -129,25 +140,24 @@ class Model:
 
     def _mix(self) -> None:
         """Masses of both candidates by context (confidences, and whether they are the same)."""
-        p2 = self.m2.mix(np.stack([_stretch(self.q2.p())[self.c2], _stretch(self.q1.p())[self.c1 * 2 + self.same], _stretch(self.j2.p())]))
-        p1 = self.m1.mix(np.stack([_stretch(self.r1.p())[self.c1], _stretch(self.j1.p())]))
+        p2 = self.m2.mix(np.stack([_stretch(self.q2.p())[self.c2], _stretch(self.q1.p())[self.as1], _stretch(self.q0.p())[self.as0], _stretch(self.j2.p())[self.j]]))
+        p1 = self.m1.mix(np.stack([_stretch(self.r1.p())[self.c1], _stretch(self.r0.p())[self.f1], _stretch(self.j1.p())[self.j]]))
         self.mass2 = p2 << (TOTAL_BITS - 16)
         self.mass1 = np.where(self.same == 1, 0, (((1 << TOTAL_BITS) - self.mass2) * p1) >> 16)
         self.both = self.mass2 + self.mass1
 
     def _learn(self) -> None:
-        got2, got1, missed = np.bincount(np.concatenate(self.keys), minlength=384).reshape(3, 128)
+        got2, got1, missed = np.bincount(np.concatenate(self.keys), minlength=3 * CONTEXTS).reshape(3, CONTEXTS)
         self.keys = []
         seen = got2 + got1 + missed
         by = lambda n, at, values: np.bincount(at, weights=values, minlength=n).astype(np.int64)  # noqa: E731  exact below 2^53
         open1 = np.where(self.same == 1, 0, seen - got2)
         self.m2.update(got2, seen)
         self.m1.update(got1, open1)
-        self.q2.update(by(8, self.c2, got2), by(8, self.c2, seen))
-        self.q1.update(by(16, self.c1 * 2 + self.same, got2), by(16, self.c1 * 2 + self.same, seen))
-        self.j2.update(got2, seen)
-        self.r1.update(by(8, self.c1, got1), by(8, self.c1, open1))
-        self.j1.update(got1, open1)
+        for counter, n, at in ((self.q2, 8, self.c2), (self.q1, 16, self.as1), (self.q0, 8, self.as0), (self.j2, 128, self.j)):
+            counter.update(by(n, at, got2), by(n, at, seen))
+        for counter, n, at in ((self.r1, 8, self.c1), (self.r0, 2, self.f1), (self.j1, 128, self.j)):
+            counter.update(by(n, at, got1), by(n, at, open1))
         self._mix()
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
@@ -164,12 +174,14 @@ class Model:
         context |= self.sure1
         context <<= 1
         context |= a == b
+        context |= self.level2.take(a)  # no candidate: -1, the last id's class, the same to both sides
+        context |= self.level1.take(b)
         self.context = context.astype(np.int64)
         return a, b
 
     def update(self, x: np.ndarray, outcome: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """``x`` (int32) came; ``outcome`` is 0 for the order-2 candidate, 1 for the order-1 candidate, 2 for neither."""
-        self.keys.append((outcome << 7) + self.context)
+        self.keys.append((outcome << 10) + self.context)
         fresh = x << 3
         for table, at, entry, sure, hit in ((self.after2, self.slot, self.entry2, self.sure2, hit2), (self.after1, self.last1, self.entry1, self.sure1, hit1)):
             table[at] = np.where(hit, entry + (sure < 7), np.where(sure == 0, fresh, entry - 1))
@@ -183,7 +195,7 @@ class Model:
 
 
 def _lanes(n: int) -> tuple[int, int]:
-    lanes = min(4096, max(1, n // 128))
+    lanes = min(8192, max(1, n // 256 if n >= 1 << 19 else n // 128))
     return lanes, -(-n // lanes)
 
 

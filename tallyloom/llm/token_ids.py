@@ -178,3 +178,7 @@ def id_table(path: str, dtype: str = "<u4", size: int = 500_000) -> IdTable:
         _tables[path, dtype] = IdTable(path, dtype)
     _tables[path, dtype].size = _tables[path, dtype].columns.size = size
     return _tables[path, dtype]
+
+
+def forget_table(path: str, dtype: str = "<u4") -> None:
+    _tables.pop((path, dtype), None)

@@ -45,6 +45,17 @@ def test_token_counts(docs):
     assert counts.count_tokens(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("states", [64, 0])
+def test_counts_of_long_runs(monkeypatch, states):
+    """Runs without a boundary over many chunks: periodic, random, and between others; by composed maps and chunk by chunk."""
+    monkeypatch.setattr(counts, "MAP_STATES", states)
+    machine = counts.CountTransducer(tokenizer_path("byte_bpe_50k.json"))
+    letters = lambda n, of: "".join(RNG.choice(of) for _ in range(n))
+    texts = ["a" * 40_000, "ab" * 9_000, "=" * 7_000, letters(30_000, "abcdefghijklmnopqrstuvwxyz"), letters(9_000, "\u65e5\u672c\u8a9e"), "x " + letters(5_000, "es") + " y " + "1" * 3_000 + "\n", " " * 5_000, letters(4_000, "ab ")]
+    _, got = counts.count_batch(machine, pa.array(texts))
+    assert got.tolist() == [len(e.ids) for e in machine.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts_cross_chunks_and_flushes():
     machine = counts.CountTransducer(tokenizer_path("byte_bpe_50k.json"), max_states=50)
     texts = ["".join(RNG.choice("abc dé'st\n1") for _ in range(RNG.randrange(2500))) for _ in range(30)] + ["q" * 3000]
