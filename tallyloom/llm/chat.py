@@ -189,11 +189,21 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         now, state = object(), None
+
+        def flush():
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = list(zip(*rows))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        def done():
+            rows.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+
         for batch in batches:
             for conv, text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if state is None or conv != now:
                     if state:
-                        rows.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                        done()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, again, said in parse_window(text):
                     if not again:
@@ -204,12 +214,12 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
                     state[2] += len(said)
                     state[3].update(said.encode())
                 state[4] += len(text)
+            if len(rows) >= 10_000:
+                yield flush()
         if state:
-            rows.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
-        for at in range(0, len(rows), 10_000):
-            columns = list(zip(*rows[at : at + 10_000]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            done()
+        if rows:
+            yield flush()
 
     ordered = windows.repartition("conv").sortWithinPartitions("conv", "window")
     return ordered.mapInArrow(tidy(run), "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -25,8 +25,9 @@ at the least id in it, which is taken exactly), and the document that opens a ra
 to the last.
 
 Defined results: null text is the empty text; rows that repeat an id follow in
-the order of their texts; rows without id come first; an empty table gives an
-empty table; a single row is its own next one; extra columns are dropped.
+the order of their texts; rows without id come first; texts of any
+length count whole; an empty table gives an empty table; a single row is its own
+next one; extra columns are dropped.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ host) beyond.
 
 Defined results: null and empty texts are rejected with a null language; null
 host or declaration is no evidence; ties go to the language named first;
-repeated rows are each decided; the rows keep their columns (but for such as
+repeated rows are each decided; texts of any length count whole; an empty table
+gives an empty table; a page without address or markup has no such evidence; the rows keep their columns (but for such as
 are named like those added, which are replaced).
 """
 

@@ -24,8 +24,8 @@ that they can't either.
 Defined results: null and empty texts have an empty set, link with nothing and
 are their own component; equal texts are one class; rows that repeat an id
 follow their own text's class; a null id keeps its row, without giving a
-component its name unless no other id is there; extra columns are dropped; an
-empty table gives an empty table.
+component its name unless no other id is there; texts of any length count whole;
+extra columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations

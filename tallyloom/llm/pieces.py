@@ -11,7 +11,7 @@ source or a repeated passage only makes it hit more often.
 Models with a piece that crosses a marker are encoded whole by the library.
 
 Defined results: a null text counts as the empty text (no ids, empty decoded
-text); repeated rows are encoded each; extra columns are dropped; an empty
+text); repeated rows are encoded each; texts of any length are encoded whole; extra columns are dropped; an empty
 table gives an empty table.
 """
 

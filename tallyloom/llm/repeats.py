@@ -38,7 +38,8 @@ the whole text would cost several thousand CPU seconds a GB; see the README.
 
 Defined results: null and empty texts have nothing to remove; rows that repeat
 an id, or have none, are ordered by id (null first) and text; equal rows stay
-in that order; extra columns are dropped; an empty table gives an empty table.
+in that order; texts of any length are read whole; extra columns are dropped; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
