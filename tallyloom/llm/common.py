@@ -56,10 +56,16 @@ def scratch(keep: Callable[[], list[DataFrame]]) -> Iterator[None]:
     discard(*[df for df in made if id(df) not in kept])
 
 
-def few_files(df: DataFrame, rows: int, rows_a_file: int = 250_000) -> DataFrame:
-    """``df`` of about ``rows`` rows in as many partitions as they need, two a core at least: not one small file for each shuffle partition."""
+FILE_ROWS, MOST_FILES = 5_000, 200_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made of ``rows`` documents, in a partition for each ``FILE_ROWS`` of them: not one small file for each shuffle partition.
+
+    Two partitions a core at least, and ``MOST_FILES`` at most, beyond which each holds more.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(2 * cores, -(-rows // rows_a_file)))
+    return df.coalesce(max(2 * cores, min(MOST_FILES, -(-rows // FILE_ROWS))))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -115,7 +115,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int64)), pa.array(np.ascontiguousarray(keys[:, t])), part.column(0), part.column(1), part.column(2)], names=["t", "key", "name", "n", "vector"])
 
-    met = materialize(few_files(classes.select("name", "n", "vector").mapInArrow(tidy(sign), "t long, key long, name long, n long, vector binary"), tables * n_rows), "vector-signs")
+    met = materialize(few_files(classes.select("name", "n", "vector").mapInArrow(tidy(sign), "t long, key long, name long, n long, vector binary"), n_rows), "vector-signs")
     sizes = met.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
     split = met.join(sizes.select("t", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), ["t", "key"])
     split = split.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
@@ -159,9 +159,9 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
             some = sorted(set(np.flatnonzero(links).tolist()) | {k for k, x in enumerate(names.tolist()) if x in root})
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some]), pa.array([root.get(x, x) for x in names[some].tolist()], pa.int64())], names=["name", "links", "root"])
 
-    linked = materialize(few_files(sorted_groups(split, ["t", "key", "lo", "hi"], compare, "name long, links long, root long"), tables * n_rows), "vector-links")
+    linked = materialize(few_files(sorted_groups(split, ["t", "key", "lo", "hi"], compare, "name long, links long, root long"), n_rows), "vector-links")
     discard(met)
-    parts = connected_components(linked, "name", "root", "vector-components", rows=tables * n_rows)
+    parts = connected_components(linked, "name", "root", "vector-components", rows=n_rows)
     degree = linked.groupBy("name").agg(F.sum("links").alias("links"))
     known = classes.select("key", "name", "n").join(degree, "name", "left").join(smallest_ids(classes.withColumnRenamed("name", "node"), parts), "key")
     known = known.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "part")

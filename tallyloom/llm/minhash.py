@@ -128,8 +128,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
                 sets = shingle_sets(*utf8_of(batch.column(1)), words)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
 
-    texts = source.select("node", "text").join(wanted, "node", "left_semi")
-    sets = materialize(few_files(texts.mapInArrow(tidy(read_sets), "node long, members binary"), rows, 50_000), "minhash-sets")
+    # by the same join at every size: a broadcast of few wanted numbers would only do for small tables
+    texts = source.select("node", "text").join(wanted.hint("merge"), "node", "left_semi")
+    sets = materialize(few_files(texts.mapInArrow(tidy(read_sets), "node long, members binary"), rows), "minhash-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

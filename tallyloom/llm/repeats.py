@@ -296,7 +296,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
     looked = texts.mapInArrow(tidy(first_look), "key long, content long, doc long, place long")
     looked = looked.repartition("key").sortWithinPartitions("key", "content", "doc", F.abs("place"))
     found = looked.mapInArrow(tidy(second_look), "doc long, start long, size long, key long, at long, kind long")
-    found = materialize(few_files(found, n_docs, 5_000), "repeats-found")
+    found = materialize(few_files(found, n_docs), "repeats-found")
 
     wanted = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key", "at")).alias("wanted"))
 
@@ -311,7 +311,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc", "start", "at", "raw"])
 
     rims = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(tidy(fetch), "key long, doc long, start long, at long, raw binary")
-    live = materialize(few_files(rims, n_docs, 20_000), "repeats-rims")
+    live = materialize(few_files(rims, n_docs), "repeats-rims")
     core, room, made, groups, again = anchor, width - anchor, [live], [], []
     while True:
         # a table, so that the joins below read it through a shuffle of its own and a hot anchor's side can be split
@@ -355,7 +355,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
     work = (met.agg(F.sum(F.length("raw")).alias("n")).first()["n"] or 0) // task_bytes + 1
     merged = met.repartition(work, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(tidy(merge), "doc long, start long, size long")
     spans = reduce(DataFrame.unionByName, [*again, merged], found.where("kind = 0").select("doc", "start", "size")).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    spans = materialize(few_files(spans, n_docs, 100_000), "repeats-spans")
+    spans = materialize(few_files(spans, n_docs), "repeats-spans")
     discard(found, *made)
 
     @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
