@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = numbered(_as_rows(docs, "doc_id", "text"), "doc_id", "text", "_key")
     groups = minhash.near_duplicates(keyed, words=5, percent=80, id_col="_key")
     kept = groups.where("id = component_id").select(F.col("id").alias("_key"))
-    return few_files(_rows_back(keyed.join(kept, "_key", "left_semi"), docs), docs.count(), 50_000)
+    return few_files(_rows_back(keyed.join(kept, "_key", "left_semi"), docs), docs.count())
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     cut = repeats.remove_repeats(docs, width=100, carry=tuple(docs.columns), decoded=True)
     kept = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     done = cut.select(*[(kept[c] if c in kept else F.col("carried").getField(c)).alias(c) for c in docs.columns])
-    return few_files(done, docs.count(), 50_000)
+    return few_files(done, docs.count())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
