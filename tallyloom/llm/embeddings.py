@@ -104,23 +104,24 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
         return keys
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each table a vector is in: (t, key, name, n, vector)."""
+        """A row for each table a vector is in: (t, key, name)."""
         keys_of = signing()
         for batch in batches:
-            blobs = batch.column(2).to_pylist()
+            blobs = batch.column(1).to_pylist()
             for width in sorted({len(b) for b in blobs}):
                 at = [i for i, b in enumerate(blobs) if len(b) == width]
                 keys = keys_of([blobs[i] for i in at])
-                part = batch.take(pa.array(at))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int64)), pa.array(np.ascontiguousarray(keys[:, t])), part.column(0), part.column(1), part.column(2)], names=["t", "key", "name", "n", "vector"])
+                names = np.repeat(batch.column(0).to_numpy()[at], tables)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables), len(at))), pa.array(keys.reshape(-1)), pa.array(names)], names=["t", "key", "name"])
 
-    met = materialize(few_files(classes.select("name", "n", "vector").mapInArrow(tidy(sign), "t long, key long, name long, n long, vector binary"), n_rows), "vector-signs")
+    # buckets are planned on keys alone; vectors come to them once a table, in one shuffle
+    met = materialize(few_files(classes.select("name", "vector").mapInArrow(tidy(sign), "t long, key long, name long"), n_rows), "vector-signs")
     sizes = met.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
     split = met.join(sizes.select("t", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), ["t", "key"])
     split = split.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("t", "key", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "own", "name", "n", "vector")
+    split = split.select("t", "key", F.least("own", "other").cast("long").alias("lo"), F.greatest("own", "other").cast("long").alias("hi"), "own", "name")
+    split = split.join(classes.select("name", "n", "vector"), "name").select("t", "key", "lo", "hi", "own", "name", "n", "vector")
 
     keys_of = signing()
 
