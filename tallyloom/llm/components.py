@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few_files, materialize, tidy
+from .common import MOST_FILES, discard, few_files, materialize, tidy
 
-ROUND_EDGES = 500_000  # edges a file between rounds
+ROUND_EDGES = 50_000  # edges a file between rounds
 
 
 def union_find(pairs: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_min = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_min, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        after = materialize(small.coalesce(-(-size // ROUND_EDGES) or 1), name)
+        after = materialize(small.coalesce(min(MOST_FILES, -(-size // ROUND_EDGES) or 1)), name)
         discard(now)
         now = after
         nodes = now.groupBy("a").agg(F.count("*").alias("n"))
