@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +57,33 @@ def scratch(keep: Callable[[], list[DataFrame]]) -> Iterator[None]:
     discard(*[df for df in made if id(df) not in kept])
 
 
-FILE_ROWS, MOST_FILES = 5_000, 200_000
+FILE_ROWS, NARROW_ROWS, MOST_FILES = 5_000, 25_000, 200_000
 
 
-def few_files(df: DataFrame, rows: int) -> DataFrame:
+def few_files(df: DataFrame, rows: int, narrow: bool = False) -> DataFrame:
     """``df``, made of ``rows`` documents, in a partition for each ``FILE_ROWS`` of them: not one small file for each shuffle partition.
 
-    Two partitions a core at least, and ``MOST_FILES`` at most, beyond which each holds more.
+    ``narrow`` is for tables of a few numbers a document, cheaply made: one for
+    ``NARROW_ROWS``.  A partition a core at least, and ``MOST_FILES`` at most,
+    beyond which each holds more.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(2 * cores, min(MOST_FILES, -(-rows // FILE_ROWS))))
+    least, size = (cores, NARROW_ROWS) if narrow else (2 * cores, FILE_ROWS)
+    return df.coalesce(max(least, min(MOST_FILES, -(-rows // size))))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks until :func:`discard`.
+
+    For a large table that two steps read, where a lost executor's share of it
+    comes out the same when it is computed again from its sources.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df._tallyloom_held = True
+    for made in _scratch:
+        made.append(df)
+    df.count()
+    return df
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -81,8 +99,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables that :func:`materialize` wrote, once nothing reads them any more."""
+    """Delete tables that :func:`materialize` wrote or :func:`held` kept, once nothing reads them any more."""
     for df in frames:
+        if getattr(df, "_tallyloom_held", False):
+            df.unpersist()
         if path := getattr(df, "_tallyloom_path", None):
             delete_path(df.sparkSession, path)
 

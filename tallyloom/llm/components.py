@@ -53,7 +53,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialize(few_files(pairs.mapInArrow(tidy(_contract), "a long, b long").distinct(), rows), name)
+    now = materialize(few_files(pairs.mapInArrow(tidy(_contract), "a long, b long").distinct(), rows, narrow=True), name)
     size = now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -168,7 +168,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     known = known.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "part")
     out = rows.where("key is not null").select("id", "key").join(known, "key").select("id", "n_links", F.coalesce("part", "id").alias("component_id"))
     out = out.unionByName(rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
-    out = materialize(few_files(out, n_rows), "vector-result")
+    out = materialize(few_files(out, n_rows, narrow=True), "vector-result")
     discard(linked, parts, classes, rows_of)
     return out
 

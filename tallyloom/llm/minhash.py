@@ -75,7 +75,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     signed = materialize(few_files(source.mapInArrow(tidy(sign), "node long, id long, n long, key binary, signature binary"), rows), "minhash-signatures")
     # a class is known by its first row's number
     classes = signed.where("key is not null").groupBy("key").agg(F.min("node").alias("node"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    classes = materialize(few_files(classes, rows), "minhash-classes")
+    classes = materialize(few_files(classes, rows, narrow=True), "minhash-classes")
 
     width = 4 * depth
     order = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.substring("signature", 1 + t * width, width).alias("order")) for t in range(orders)])).alias("o")
@@ -110,12 +110,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "task", "a", "b", "t", "order"])
 
     ranged = forest.drop("n").repartitionByRange("t", "order", "node").sortWithinPartitions("t", "order", "node")
-    found = materialize(few_files(ranged.mapInArrow(tidy(neighbours), "kind int, task long, a long, b long, t int, order binary"), rows), "minhash-neighbours")
+    found = materialize(few_files(ranged.mapInArrow(tidy(neighbours), "kind int, task long, a long, b long, t int, order binary"), rows, narrow=True), "minhash-neighbours")
     # neighbours over a task's edge: two rows a task, in the order of tasks
     edges = sorted(found.where("kind > 0").select("task", "kind", "t", "order", "a").collect())
     across = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(edges, edges[1:]) if x.task != y.task and x.t == y.t and bytes(x.order)[:prefix] == bytes(y.order)[:prefix] and x.a != y.a]
     pairs = found.where("kind = 0").select("a", "b").unionByName(local_rows(df.sparkSession, {"a": (pa.int64(), [x for x, _ in across]), "b": (pa.int64(), [y for _, y in across])}))
-    pairs = materialize(few_files(pairs.distinct(), rows), "minhash-pairs")
+    pairs = materialize(few_files(pairs.distinct(), rows, narrow=True), "minhash-pairs")
     discard(found)
 
     # regions of an order with more than one class
@@ -144,7 +144,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
     # regions that still hold several components
     placed = regions.join(sets.select("node"), "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    placed = materialize(few_files(placed.select("t", "region", "node", "part", "n"), rows), "minhash-regions")
+    placed = materialize(few_files(placed.select("t", "region", "node", "part", "n"), rows, narrow=True), "minhash-regions")
     mixed_regions = placed.groupBy("t", "region").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size"), F.sum("n").alias("hashes")).where("least <> most")
     blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(8 * F.col("hashes") / block_bytes)).cast("int")
     split = placed.join(mixed_regions.select("t", "region", blocks.alias("blocks")), ["t", "region"])
@@ -195,6 +195,6 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     with_words = signed.where("key is not null").select("id", "n", "key").join(known, "key").select("id", "n", "part")
     without = signed.where("key is null").select("id", "n", F.col("id").alias("part"))
     out = with_words.unionByName(without).select("id", F.col("n").alias("n_shingles"), F.col("part").alias("component_id"))
-    out = materialize(few_files(out, rows), "minhash-result")
+    out = materialize(few_files(out, rows, narrow=True), "minhash-result")
     discard(pairs, placed, sets, classes, signed, parts, final, rows_of)
     return out

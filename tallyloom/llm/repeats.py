@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few_files, give_back, materialize, numbered, slices, tidy, utf8_of
+from .common import discard, few_files, give_back, held, materialize, numbered, slices, tidy, utf8_of
 from .fingerprints import _table, mixed
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -296,7 +296,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
     looked = texts.mapInArrow(tidy(first_look), "key long, content long, doc long, place long")
     looked = looked.repartition("key").sortWithinPartitions("key", "content", "doc", F.abs("place"))
     found = looked.mapInArrow(tidy(second_look), "doc long, start long, size long, key long, at long, kind long")
-    found = materialize(few_files(found, n_docs), "repeats-found")
+    found = held(few_files(found, n_docs))
 
     wanted = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key", "at")).alias("wanted"))
 
@@ -311,18 +311,18 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc", "start", "at", "raw"])
 
     rims = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(tidy(fetch), "key long, doc long, start long, at long, raw binary")
-    live = materialize(few_files(rims, n_docs), "repeats-rims")
+    live = held(few_files(rims, n_docs))
     core, room, made, groups, again = anchor, width - anchor, [live], [], []
     while True:
         # a table, so that the joins below read it through a shuffle of its own and a hot anchor's side can be split
-        sizes = materialize(few_files(live.groupBy("key").agg(F.count("*").alias("n")), n_docs), "repeats-sizes")
+        sizes = materialize(few_files(live.groupBy("key").agg(F.count("*").alias("n")), n_docs, narrow=True), "repeats-sizes")
         made.append(sizes)
         groups.append(live.join(sizes.where(F.col("n").between(2, block)), "key", "left_semi"))
         crowded = sizes.where(F.col("n") > block)
         if crowded.isEmpty():
             break
-        wider = materialize(_by_context(live.join(crowded, "key", "left_semi"), core, room), "repeats-contexts")
-        firsts = materialize(wider.groupBy("key", "at", "raw").agg(F.min(F.struct("doc", "start")).alias("f")), "repeats-firsts")
+        wider = materialize(few_files(_by_context(live.join(crowded, "key", "left_semi"), core, room), n_docs, narrow=True), "repeats-contexts")
+        firsts = materialize(few_files(wider.groupBy("key", "at", "raw").agg(F.min(F.struct("doc", "start")).alias("f")), n_docs, narrow=True), "repeats-firsts")
         made += [wider, firsts]
         again.append(wider.join(firsts, ["key", "at", "raw"]).where((F.col("doc") != F.col("f.doc")) | (F.col("start") != F.col("f.start"))).select("doc", "start", F.length("raw").cast("long").alias("size")))
         live = firsts.select("key", "f.*", "at", "raw")
@@ -355,7 +355,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
     work = (met.agg(F.sum(F.length("raw")).alias("n")).first()["n"] or 0) // task_bytes + 1
     merged = met.repartition(work, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(tidy(merge), "doc long, start long, size long")
     spans = reduce(DataFrame.unionByName, [*again, merged], found.where("kind = 0").select("doc", "start", "size")).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    spans = materialize(few_files(spans, n_docs), "repeats-spans")
+    spans = materialize(few_files(spans, n_docs, narrow=True), "repeats-spans")
     discard(found, *made)
 
     @F.pandas_udf(f"n_bytes long, n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
