@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few_files, give_back, held, materialize, numbered, slices, tidy, utf8_of
+from .common import discard, few_files, give_back, materialize, numbered, slices, tidy, utf8_of
 from .fingerprints import _table, mixed
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -296,7 +296,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
     looked = texts.mapInArrow(tidy(first_look), "key long, content long, doc long, place long")
     looked = looked.repartition("key").sortWithinPartitions("key", "content", "doc", F.abs("place"))
     found = looked.mapInArrow(tidy(second_look), "doc long, start long, size long, key long, at long, kind long")
-    found = held(few_files(found, n_docs))
+    found = materialize(few_files(found, n_docs, narrow=True), "repeats-found")
 
     wanted = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "key", "at")).alias("wanted"))
 
@@ -311,7 +311,7 @@ def remove_repeats(df: DataFrame, width: int = 100, anchor: int = 36, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc", "start", "at", "raw"])
 
     rims = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(tidy(fetch), "key long, doc long, start long, at long, raw binary")
-    live = held(few_files(rims, n_docs))
+    live = materialize(few_files(rims, n_docs, narrow=True), "repeats-rims")
     core, room, made, groups, again = anchor, width - anchor, [live], [], []
     while True:
         # a table, so that the joins below read it through a shuffle of its own and a hot anchor's side can be split
