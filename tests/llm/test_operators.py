@@ -92,6 +92,18 @@ def test_id_table_by_ranks(name):
     assert table.encode([]) == []
 
 
+def test_pieces_of_a_small_table():
+    texts = ["", " ", "the  cat", *(f"word{k % 37} und W\u00f6rter{k} {k * k}\u2581x \U0001f600" for k in range(400))]
+    path = tokenizer_path("piece_bpe_32k.model")
+    for table in (pieces.ChunkTable(path, table_size=40), pieces.ChunkTable(path, table_chars=300), pieces.ChunkTable(path, table_size=900)):
+        for at in range(0, len(texts), 50):
+            part = texts[at : at + 50]
+            assert [np.frombuffer(x, np.int32).tolist() for x in table.encode(part)] == table.model.encode(part)
+            assert len(table.older) <= table.size
+    lists = pa.array([[5, 6], None, [], [7]], pa.list_(pa.int32()))
+    assert list(pieces._rows(lists.slice(1))) == [[], [], [7]] and list(pieces._rows(lists)) == [[5, 6], [], [], [7]]
+
+
 def test_pieces(docs):
     model = pieces.table_for(tokenizer_path("piece_bpe_32k.model")).model
     got = {r["id"]: (r["ids"], r["decoded"]) for r in pieces.decode_pieces(pieces.encode_pieces(docs)).collect()}
