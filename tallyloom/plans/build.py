@@ -82,14 +82,62 @@ def rows_bound(spec: QuerySpec, catalog, classes: Classes, subset: frozenset[int
     return min(size(chosen) for k in range(1, len(subset) + 1) for chosen in combinations(sorted(subset), k) if covers(chosen))
 
 
+def _fits(spec: QuerySpec, catalog, classes: Classes, subset: frozenset[int], k: int | None = None) -> bool:
+    """Whether the count, or selection k's sum, over the subset's joined rows is below 2^63."""
+    rows = rows_bound(spec, catalog, classes, subset)
+    return rows < LONG_LIMIT and (k is None or _small(spec, catalog, spec.selections[k], rows))
+
+
+def _sum(c: Column, small: bool) -> Column:
+    """The sum of longs as a long where ``small``, else of decimals modulo 2^64."""
+    return F.sum(c) if small else wrap(F.sum(c.cast("decimal(28,0)")))
+
+
+def _counted_scan(spec: QuerySpec, catalog, b: int, classes: Classes) -> tuple[DataFrame, dict[str, bool]]:
+    """A binding's scan with n = 1 and s_k its selections, and which of these are longs."""
+    mine = [k for k, c in enumerate(spec.selections) if c.binding == b]
+    longs = {"n": True} | {f"s{k}": _fits(spec, catalog, classes, frozenset([b]), k) for k in mine}
+    columns = [F.col(named(spec.selections[k])) for k in mine]
+    sums = [(c.cast("long") if longs[f"s{k}"] else wide(c)).alias(f"s{k}") for k, c in zip(mine, columns)]
+    return scan(spec, catalog, b, classes).select("*", F.lit(1).cast("long").alias("n"), *sums), longs
+
+
+def _products(spec: QuerySpec, catalog, classes: Classes, covered: frozenset[int], longs: dict[str, bool], theirs: dict[str, bool], other: Column) -> tuple[list[Column], dict[str, bool]]:
+    """n and sums of rows (n, s, ...) joined with rows (``other``, s', ...): n*n', s*n' and n*s'; and which are longs over ``covered``."""
+
+    def times_(a: Column, b: Column, small: bool, are_longs: bool) -> Column:
+        return a * b if small and are_longs else times(a, b).cast("long") if small else times(a, b)
+
+    count, sums = F.col("n"), [c for c in theirs if c != "n"]
+    now = {"n": _fits(spec, catalog, classes, covered)} | {s: _fits(spec, catalog, classes, covered, int(s[1:])) for s in [*longs, *sums] if s != "n"}
+    out = [times_(count, other, now["n"], longs["n"] and theirs["n"]).alias("n")]
+    out += [times_(F.col(s), other, now[s], longs[s] and theirs["n"]).alias(s) for s in longs if s != "n"]
+    out += [times_(F.col(s), count, now[s], theirs[s] and longs["n"]).alias(s) for s in sums]
+    return out, now
+
+
+def _multiplies(spec: QuerySpec, catalog, classes: Classes, subset: frozenset[int]) -> bool:
+    """Whether unique columns leave it open that the subset joins to over twice the rows it has."""
+    return rows_bound(spec, catalog, classes, subset) > 2 * sum(catalog.statistics(spec.relations[b]).rows for b in subset)
+
+
+def _hinted(right: DataFrame, spec: QuerySpec, catalog, b: int, hint: str | None, width: int) -> DataFrame:
+    small = hint != "broadcast" or 8 * width * catalog.statistics(spec.relations[b]).rows <= BROADCAST_BYTES
+    return right.hint(hint) if hint and small else right
+
+
 def naive(spec: QuerySpec, catalog, order: list[int] | None = None, hint: str | None = None) -> DataFrame:
     """Joins in a connected order, then the sums: one row s0, s1, ...
 
-    A broadcast hint is given only to sides of at most ``BROADCAST_BYTES`` before
-    their filters, so it can't outgrow the executors; beyond, the engine chooses.
+    Where a join of the order could multiply rows, rows are joined as counts and
+    sums a key (:func:`summed`).  A broadcast hint is given only to sides of at
+    most ``BROADCAST_BYTES`` before their filters, so it can't outgrow the
+    executors; beyond, the engine chooses.
     """
     classes = Classes(spec.joins)
     order = order or order_bindings(spec, catalog)
+    if any(_multiplies(spec, catalog, classes, frozenset(order[:k])) for k in range(2, len(order) + 1)):
+        return summed(spec, catalog, order, hint)
     df = scan(spec, catalog, order[0], classes)
     joined = {order[0]}
     for b in order[1:]:
@@ -100,13 +148,47 @@ def naive(spec: QuerySpec, catalog, order: list[int] | None = None, hint: str |
             here = next((c for c in members if c.binding == b), None)
             if left is not None and here is not None:
                 on.append(F.col(named(left)) == F.col(named(here)))
-        small = hint != "broadcast" or 8 * len(right.columns) * catalog.statistics(spec.relations[b]).rows <= BROADCAST_BYTES
-        df = df.join(right.hint(hint) if hint and small else right, on, "inner")
+        df = df.join(_hinted(right, spec, catalog, b, hint, len(right.columns)), on, "inner")
         joined.add(b)
     rows = rows_bound(spec, catalog, classes)
     return df.agg(*[total(F.col(named(c)), _small(spec, catalog, c, rows)).alias(f"s{k}") for k, c in enumerate(spec.selections)])
 
 
+def summed(spec: QuerySpec, catalog, order: list[int], hint: str | None = None) -> DataFrame:
+    """The joins of an order over rows that stand for a count and sums; the join graph may be cyclic.
+
+    Before a join that could multiply, both sides are summed up by the columns
+    that this join or a later one compares, so that equal keys meet once.  Only
+    where both sides keep further columns for later joins can it still multiply.
+    """
+    classes = Classes(spec.joins)
+    shared = {r: m for r, m in classes.members().items() if len({c.binding for c in m}) > 1}
+
+    def by_key(df: DataFrame, keys: dict[Col, str], longs: dict[str, bool]) -> DataFrame:
+        return df.groupBy(*keys.values()).agg(*[_sum(F.col(c), small).alias(c) for c, small in longs.items()])
+
+    df, longs, keys = None, {}, {}
+    covered: frozenset[int] = frozenset()
+    for b in order:
+        right, theirs = _counted_scan(spec, catalog, b, classes)
+        own = {r: named(next(c for c in m if c.binding == b)) for r, m in shared.items() if any(c.binding == b for c in m)}
+        covered |= {b}
+        if df is None:
+            df, longs, keys = right, theirs, own
+            continue
+        width = len(right.columns)
+        unique = catalog.statistics(spec.relations[b]).unique
+        fixed = any(unique[c.position] for r in keys if r in own for c in shared[r] if c.binding == b)  # a row meets one of b at most
+        if not fixed and _multiplies(spec, catalog, classes, covered):
+            df, right = by_key(df, keys, longs), by_key(right, own, theirs)
+        on = [F.col(keys[r]) == F.col(own[r]) for r in keys if r in own]
+        df = df.join(_hinted(right.withColumnRenamed("n", "n_right"), spec, catalog, b, hint, width), on, "inner")
+        keys = {r: c for r, c in (own | keys).items() if any(c.binding not in covered for c in shared[r])}
+        products, longs = _products(spec, catalog, classes, covered, longs, theirs, F.col("n_right"))
+        df = df.select(*keys.values(), *products)
+    return df.agg(*[_sum(F.col(f"s{k}"), longs[f"s{k}"]).alias(f"s{k}") for k in range(len(spec.selections))])
+
+
 @dataclass
 class Tree:
     root: int
@@ -152,32 +234,16 @@ def factorized(spec: QuerySpec, catalog) -> DataFrame | None:
     if tree is None:
         return None
 
-    def fits(subset: frozenset[int], k: int | None = None) -> bool:
-        """Whether the count, or selection k's sum, over the subset's joined rows is below 2^63."""
-        rows = rows_bound(spec, catalog, classes, subset)
-        return rows < LONG_LIMIT and (k is None or _small(spec, catalog, spec.selections[k], rows))
-
-    def times_(a: Column, b: Column, small: bool, longs: bool) -> Column:
-        return a * b if small and longs else times(a, b).cast("long") if small else times(a, b)
-
-    def sum_(c: Column, small: bool, is_long: bool) -> Column:
-        if small and is_long:
-            return F.sum(c)
-        whole = wrap(F.sum(c.cast("decimal(28,0)")))
-        return whole.cast("long") if small else whole
-
     def visit(b: int, parent: int | None) -> tuple[DataFrame, frozenset[int], dict[str, bool], list[Col]]:
         """(rows, bindings in them, whether each of n, s0, ... is a long, keys upward)."""
         mine = [k for k, c in enumerate(spec.selections) if c.binding == b]
         own_keys = {root_: next(c for c in m if c.binding == b) for root_, m in classes.members().items() if any(c.binding == b for c in m)}
         up = [r for r, c in own_keys.items() if any(x.binding == parent for x in classes.members()[r])] if parent is not None else []
         covered = frozenset([b])
-        longs = {"n": True} | {f"s{k}": fits(covered, k) for k in mine}
+        df, longs = _counted_scan(spec, catalog, b, classes)
         ready = _stored_message(spec, catalog, b, classes, mine, own_keys, up) if parent is not None and not tree.children[b] and all(longs.values()) else None
         if ready is not None:
             return ready, covered, longs, up
-        df = scan(spec, catalog, b, classes)
-        df = df.select("*", F.lit(1).cast("long").alias("n"), *[(F.col(named(spec.selections[k])).cast("long") if longs[f"s{k}"] else wide(F.col(named(spec.selections[k])))).alias(f"s{k}") for k in mine])
         for child in tree.children[b]:
             message, below, theirs, keys = visit(child, b)
             on = [F.col(named(own_keys[r])) == F.col(f"m{child}_{i}") for i, r in enumerate(keys)]
@@ -185,21 +251,17 @@ def factorized(spec: QuerySpec, catalog) -> DataFrame | None:
             covered |= below
             sums = [c for c in theirs if c != "n"]
             rest = [c for c in df.columns if c not in longs and c not in sums and not c.startswith(f"m{child}_")]
-            count, other = F.col("n"), F.col(f"m{child}_n")
-            now = {"n": fits(covered)} | {s: fits(covered, int(s[1:])) for s in [*longs, *sums] if s != "n"}
-            products = [times_(count, other, now["n"], longs["n"] and theirs["n"]).alias("n")]
-            products += [times_(F.col(s), other, now[s], longs[s] and theirs["n"]).alias(s) for s in longs if s != "n"]
-            products += [times_(F.col(s), count, now[s], theirs[s] and longs["n"]).alias(s) for s in sums]
+            products, now = _products(spec, catalog, classes, covered, longs, theirs, F.col(f"m{child}_n"))
             df, longs = df.select(*rest, *products), now
         if parent is None:
             return df, covered, longs, []
         keys = [F.col(named(own_keys[r])).alias(f"m{b}_{i}") for i, r in enumerate(up)]
         # a message's sums are over the same bindings, so they are longs where their summands are
-        grouped = df.groupBy(*keys).agg(*[sum_(F.col(c), small, small).alias(f"m{b}_n" if c == "n" else c) for c, small in longs.items()])
+        grouped = df.groupBy(*keys).agg(*[_sum(F.col(c), small).alias(f"m{b}_n" if c == "n" else c) for c, small in longs.items()])
         return grouped, covered, longs, up
 
     df, covered, longs, _ = visit(root, None)
-    return df.agg(*[sum_(F.col(f"s{k}"), longs[f"s{k}"], longs[f"s{k}"]).alias(f"s{k}") for k in range(len(spec.selections))])
+    return df.agg(*[_sum(F.col(f"s{k}"), longs[f"s{k}"]).alias(f"s{k}") for k in range(len(spec.selections))])
 
 
 def _stored_message(spec: QuerySpec, catalog, b: int, classes: Classes, mine: list[int], own_keys: dict[Col, Col], up: list[Col]) -> DataFrame | None:

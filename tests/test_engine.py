@@ -261,6 +261,36 @@ def test_skewed_key_is_factorized(spark):
     assert rows_bound(spec, catalog, Classes(spec.joins)) == 360_000
 
 
+def made_rows(spark, df):
+    """What a plan answers, and the rows of its largest join."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        answer, todo, made = df.collect()[0], [df._jdf.queryExecution().executedPlan()], [0]
+        while todo:
+            plan = todo.pop()
+            if "Join" in plan.nodeName():
+                made.append(plan.metrics().apply("numOutputRows").value())
+            todo += [plan.children().apply(i) for i in range(plan.children().size())]
+        return tuple(None if v is None else int(v) for v in answer), max(made)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_naive_joins_do_not_multiply(spark):
+    """Equal keys on both sides meet once, in trees and in cyclic graphs, and with a hint."""
+    catalog, con = Catalog(spark), duckdb.connect()
+    for r, (rows, keys) in enumerate(((900, 5), (700, 5), (600, 4), (5, 5))):
+        # few keys; c2 has nulls and one side a key that is null
+        catalog.add(spark.range(rows).selectExpr(f"if(id = 50, null, id % {keys}) AS a", f"id div {keys} % 3 AS b", "if(id % 10 = 0, null, id) AS c"))
+        con.execute(f"CREATE TABLE r{r} AS SELECT CASE WHEN id <> 50 THEN id % {keys} END AS c0, id // {keys} % 3 AS c1, CASE WHEN id % 10 <> 0 THEN id END AS c2 FROM range({rows}) x(id)")
+    for line in ("0 1|0.0=1.0|0.2 1.2 0.1", "0 3 1|0.0=1.0&0.0=2.0|0.2 2.2 1.2", "0 1 2|0.0=1.0&1.1=2.1&2.0=0.0|0.2 1.2 2.2", "0 1 2|0.0=1.0&1.1=2.0&2.1=0.1|0.2 1.2 2.2", "0 1|0.0=1.0&0.2<0|0.2"):
+        spec = parse_query(line)
+        expected = con.execute(spec.to_sql(aliases=True, cast="BIGINT")).fetchall()[0]
+        for hint in (None, "merge"):
+            answer, made = made_rows(spark, plan_query(spec, catalog, "naive", False, hint))
+            assert answer == expected and made <= 900, (line, hint, made)  # no more than the largest side
+
+
 def test_statistics_follow_the_files(spark, tmp_path):
     for name, names in engine.TABLES:
         spark.createDataFrame([tuple(1 for _ in names)], ", ".join(f"{c} long" for c in names)).write.parquet(str(tmp_path / f"{name}.parquet"))
