@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows a sorted file or bucket holds on average at most: what one task sorts.
+ROWS_A_PART = 1_000_000
 _WIDTHS = (("byte", 1 << 7), ("short", 1 << 15), ("int", 1 << 31))
 
 
+def parts(least: int, *frames: DataFrame) -> int:
+    """Files or buckets for frames of any size: ``least``, and more where one frame has over ``ROWS_A_PART`` rows for each.
+
+    Frames that are to be joined by their buckets need the same number, which the
+    largest of them sets.  Counting reads no columns of Parquet.
+    """
+    most = int(frames[0].sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return max(least, min(most, -(-max(df.count() for df in frames) // ROWS_A_PART)))
+
+
 def write_sorted(df: DataFrame, path: str, by: str, bloom: tuple[str, ...] = (), files: int | None = None, rows_a_group: int = 200_000) -> DataFrame:
     """``df`` as Parquet in ranges of ``by``, sorted inside: range and point filters on it skip files and row groups.
 

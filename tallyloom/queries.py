@@ -138,13 +138,16 @@ def _delimited_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sorted_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem stored along its first key with a Bloom filter on the second: a range and a point filter."""
-    stored = layout.write_sorted(relation(spark, sf_dir, 6), fresh_path(spark, "sorted"), "c0", ("c1",), files=8)
+    lineitem = relation(spark, sf_dir, 6)
+    stored = layout.write_sorted(lineitem, fresh_path(spark, "sorted"), "c0", ("c1",), files=layout.parts(8, lineitem))
     return stored.where("c0 > 1000 AND c0 < 1400").select(F.lit("range").alias("filter"), "c0", "c1", "c3").unionByName(stored.where("c1 = 77").select(F.lit("point").alias("filter"), "c0", "c1", "c3"))
 
 
 def _bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem and orders in buckets of the order key: joined and grouped without a shuffle."""
-    left, right = (layout.write_bucketed(relation(spark, sf_dir, n), f"tallyloom_bucketed_{uuid.uuid4().hex}", "c0", 8, fresh_path(spark, "bucketed")) for n in (6, 5))
+    frames = [relation(spark, sf_dir, n) for n in (6, 5)]
+    buckets = layout.parts(8, *frames)
+    left, right = (layout.write_bucketed(df, f"tallyloom_bucketed_{uuid.uuid4().hex}", "c0", buckets, fresh_path(spark, "bucketed")) for df in frames)
     return left.alias("l").join(right.alias("o"), F.col("l.c0") == F.col("o.c0")).groupBy(F.col("o.c0").alias("key")).agg(F.count("*").alias("n"), F.sum("l.c1").alias("parts"))
 
 

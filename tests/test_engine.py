@@ -222,6 +222,29 @@ def test_layouts(spark, tmp_path):
     assert [t for _, t in layout.compressed(df.where("c0 < 300")).dtypes] == ["smallint", "tinyint"]
 
 
+def test_files_and_buckets_follow_the_rows(spark, monkeypatch):
+    """What one task sorts doesn't grow with the table."""
+    from tallyloom.operators import layout
+
+    monkeypatch.setattr(layout, "ROWS_A_PART", 100, raising=False)
+    written = {}
+    for name, at in (("write_bucketed", 3), ("write_sorted", None)):
+        plain = getattr(layout, name)
+        monkeypatch.setattr(layout, name, lambda df, *a, plain=plain, at=at, **b: written.setdefault(a[at - 1] if at else b["files"], []).append(df.count()) or plain(df, *a, **b))
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    sql = "SELECT l_orderkey, count(*), sum(l_partkey)::BIGINT FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
+    assert sorted(map(tuple, engine.queries()["bucketed_join"](spark, folder).collect())) == sorted(con.execute(sql).fetchall())
+    (buckets, rows), = written.items()  # the same number for both
+    assert len(rows) == 2 and max(rows) <= 100 * buckets
+    written.clear()
+    assert engine.queries()["sorted_layout"](spark, folder).where("filter = 'point'").count() == con.execute("SELECT count(*) FROM lineitem WHERE l_partkey = 77").fetchall()[0][0]
+    (files_, rows), = written.items()
+    assert max(rows) <= 100 * files_
+    assert layout.parts(8, spark.range(799)) == 8 and layout.parts(8, spark.range(10), spark.range(901)) == 10
+
+
 def test_catalog_keeps_and_forgets(spark, tmp_path):
     catalog = Catalog(spark, reuse=True)
     many = spark.range(400).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
