@@ -43,6 +43,8 @@ _UNUSUAL = re.compile("[^\t\n\r -~¡-©«-±´-¸»À-įı-ɏ]")
 _APART = "^$|^[\t\n\r]|[\t\n\r]$|" + _UNUSUAL.pattern
 _WORD_LEVEL = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python alone
+#: How byte-level patterns end: white space before more of it, then any; and units with such runs inside.
+_RUNS, _RUN = r"|\s+(?!\S)|\s+", "[\t\n\r]{2}"
 _MARK = "\x01"
 _BEHIND_EACH = "\\g<0>" + _MARK
 #: White space before and behind a cut, as flags.
@@ -76,6 +78,10 @@ def _joined(units: pa.Array) -> str:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), " ")[0].as_py()
 
 
+def _places(mask: pa.Array) -> np.ndarray:
+    return np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+
+
 class IdTable:
     def __init__(self, path: str, dtype: str = "<u4", size: int = 500_000):
         from tokenizers import Tokenizer
@@ -90,6 +96,9 @@ class IdTable:
         import public_tokenizers
 
         self.ranked = _ranked(spec["model"], f"[^{_MARK} ]+{_MARK}| " if self.drops_white else public_tokenizers.PATTERN)
+        # without runs of white space the pattern needs no lookahead, which takes the regex engine twice the time
+        ahead = not self.drops_white and public_tokenizers.PATTERN.endswith(_RUNS)
+        self.ranked_plain = _ranked(spec["model"], public_tokenizers.PATTERN.removesuffix(_RUNS) + r"|\s") if ahead else self.ranked
         tokens = _token_bytes(spec["model"])
         self.blank = tokens.get(b" ")
         self.n_bytes = np.zeros(len(spec["model"]["vocab"]) + 1, np.int64)
@@ -99,21 +108,25 @@ class IdTable:
     def clear(self) -> None:
         self.columns.forget()
 
-    def _learn_ranked(self, fresh: pa.Array) -> None:
+    def _learn_ranked(self, fresh: pa.Array) -> np.ndarray:
         """Units behind a blank, with flags of white space at their ends."""
         apart = pc.match_substring_regex(fresh, _APART)
-        odd, plain = fresh.filter(apart), fresh.filter(pc.invert(apart))
+        runs = pc.and_not(pc.match_substring_regex(fresh, _RUN), apart)
+        odd, order = fresh.filter(apart), [_places(apart), _places(runs), _places(pc.invert(pc.or_(apart, runs)))]
         if len(odd):
             texts = odd.to_pylist()
             white = [(not u or u[0].isspace()) * _BEHIND + (not u or u[-1].isspace()) * _BEFORE for u in texts]
             self.columns.add_packed(odd, self._library([" " + u for u in texts]), np.asarray(white, np.int8))
-        if len(plain):
-            ids = np.asarray(self.ranked.encode_ordinary(" " + _joined(plain)), np.int64)
-            ends = np.cumsum(pc.binary_length(plain).to_numpy() + 1)
-            upto = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            self.columns.add(plain, ids, np.diff(upto, prepend=0))
-
-    def _learn_words(self, fresh: pa.Array) -> None:
+        for ranked, at in ((self.ranked, order[1]), (self.ranked_plain, order[2])):
+            if len(at):
+                plain = fresh.take(pa.array(at))
+                ids = np.asarray(ranked.encode_ordinary(" " + _joined(plain)), np.int64)
+                ends = np.cumsum(pc.binary_length(plain).to_numpy() + 1)
+                upto = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+                self.columns.add(plain, ids, np.diff(upto, prepend=0))
+        return np.concatenate(order)
+
+    def _learn_words(self, fresh: pa.Array) -> np.ndarray:
         """Units between white space."""
         apart = pc.match_substring_regex(fresh, _APART)
         odd, plain = fresh.filter(apart), fresh.filter(pc.invert(apart))
@@ -124,6 +137,7 @@ class IdTable:
             between = ids == self.blank
             upto = np.flatnonzero(between)
             self.columns.add(plain, ids[~between], np.diff(upto - np.arange(len(upto)), prepend=0))
+        return np.concatenate([_places(apart), _places(pc.invert(apart))])
 
     def _ranked_texts(self, texts: list[str]) -> list[bytes]:
         """Packed ids of texts without special strings, by ranks."""
@@ -142,9 +156,8 @@ class IdTable:
         whole = np.unique(of[inside + 1 < first[of + 1]]).tolist()
         # a text's first unit has no blank before it
         heads = self._library([t.split(" ", 1)[0] for t in texts])
-        n_ids = self.columns.n_ids[item]
-        n_ids[first[:-1]] = 0
-        out = [head + ids for head, ids in zip(heads, self.columns.texts(item, n_ids, first))]
+        item[first[:-1]] = len(self.columns.n_ids)
+        out = [head + ids for head, ids in zip(heads, self.columns.texts(item, first))]
         for k, ids in zip(whole, self._library([texts[k] for k in whole])):
             out[k] = ids
         return out
@@ -157,7 +170,7 @@ class IdTable:
         lower = [t if "Σ" in t or "İ" in t else t.lower() for t in texts]
         cut = pc.ascii_split_whitespace(pa.array(lower, pa.string()))
         item = self.columns.items(cut.values)
-        return self.columns.texts(item, self.columns.n_ids[item], cut.offsets.to_numpy().astype(np.int64))
+        return self.columns.texts(item, cut.offsets.to_numpy().astype(np.int64))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]

@@ -23,9 +23,9 @@ def gather(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class UnitColumns:
-    """``learn`` gets an Arrow column of new units and calls :meth:`add` for all of them, in any order."""
+    """``learn`` gets an Arrow column of new units, calls :meth:`add` for all of them, in any order, and returns their places in that order."""
 
-    def __init__(self, dtype: np.dtype, size: int, learn: Callable[[pa.Array], None], held_bytes: int = 64 << 20):
+    def __init__(self, dtype: np.dtype, size: int, learn: Callable[[pa.Array], np.ndarray], held_bytes: int = 64 << 20):
         self.dtype, self.size, self.learn, self.held_bytes = np.dtype(dtype), size, learn, held_bytes
         self.forget()
 
@@ -62,8 +62,9 @@ class UnitColumns:
             self.add(kept, flat, n_ids, flags)
             out[found.is_valid().to_numpy(zero_copy_only=False)] = np.arange(len(kept))
         held = len(self.units)
-        self.learn(fresh)
-        out[missing.to_numpy(zero_copy_only=False)] = held + pc.index_in(fresh, value_set=self.units.slice(held)).to_numpy()
+        places, added = self.learn(fresh), np.empty(len(fresh), np.int64)
+        added[places] = np.arange(held, len(self.units))
+        out[missing.to_numpy(zero_copy_only=False)] = added
         return out
 
     def items(self, units: pa.Array) -> np.ndarray:
@@ -71,8 +72,13 @@ class UnitColumns:
         numbered = units.dictionary_encode()
         return self.rows(numbered.dictionary)[numbered.indices.to_numpy()]
 
-    def texts(self, item: np.ndarray, n_ids: np.ndarray, first: np.ndarray) -> list[bytes]:
-        """Packed ids of texts: text k has the units from first[k] to first[k + 1], the first ``n_ids`` ids of each (all or none)."""
-        data = gather(self.flat, self.begin[item], n_ids).tobytes()
-        bounds = (np.concatenate([[0], np.cumsum(n_ids)])[first] * self.dtype.itemsize).tolist()
-        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+    def texts(self, item: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Packed ids of texts: text k has the units from first[k] to first[k + 1]; an item of one more than the last row has no ids."""
+        if not len(item):
+            return [b""] * (len(first) - 1)
+        bounds = np.append(self.begin, [len(self.flat)] * 2) * self.dtype.itemsize
+        rows = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(self.flat)])
+        _, ends, data = rows.take(pa.array(item)).buffers()
+        data = data.to_pybytes() if data is not None else b""
+        at = np.frombuffer(ends, np.int64)[first].tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
